@@ -15,6 +15,7 @@ import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,8 +88,17 @@ def order_statistics(
 
     Nulls are left out. The number of groups must be small (tiers, bins, features).
     """
-    by = list(by)
-    rows = df.select(*by, col(value).alias("v")).where(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double")))
+    # Only the value and its group are kept between the passes: the source is computed
+    # once, and a lost block is recomputed from it.
+    narrow = df.select(*by, col(value).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        known = F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))
+        return _order_statistics(narrow.where(known), ranks_for, list(by))
+    finally:
+        narrow.unpersist()
+
+
+def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple, tuple[int, dict[int, object]]]:
     stats = (
         rows.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))

@@ -1,6 +1,6 @@
 """Registered queries over the warehouse tables."""
 
-from ratebook.plans import features, registry, validation  # noqa: F401
+from ratebook.plans import features, metrics, registry, validation  # noqa: F401
 
 
 def queries():
