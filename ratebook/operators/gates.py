@@ -74,15 +74,6 @@ def release_gates(splits: DataFrame, y="y_true", p="price", split="split") -> Da
         F.struct(F.lit(k).alias("gate"), v.alias("value"), ok.alias("passed")) for k, (v, ok) in checks.items()])))
 
 
-def calibration_adoption(before: dict, after: dict) -> dict[str, bool]:
-    """Adopt a calibrator only when it clearly helps: inputs are {rmse, r2, mae} on the holdout."""
-    return {
-        "rmse_gain": after["rmse"] < before["rmse"] * 0.99,
-        "r2_kept": after["r2"] >= before["r2"],
-        "mae_kept": after["mae"] <= before["mae"] * 1.02,
-    }
-
-
 def routing_guard(df: DataFrame, y="y_true", base="base", routed="routed", tolerance: float = 0.005) -> DataFrame:
     """Keep a routing unless it costs R²."""
     out = df.agg(m.r2(y, base).alias("r2_base"), m.r2(y, routed).alias("r2_routed"))
