@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratebook.config import AGE_EDGES, AGE_LABELS, BMI_EDGES, BMI_LABELS
 from ratebook.functions import moments as m
 from ratebook.functions.columns import band, col, lookup
-from ratebook.operators.quantiles import exact_quantiles
+from ratebook.operators.quantiles import grouped_quantiles
 
 
 @dataclass(frozen=True)
@@ -31,9 +31,8 @@ class QuantileTable:
         rows = cls._placed(df).select("age_group", "bmi_category", "smoker", col(target).alias("target"))
 
         def table(*by):
-            counts = {tuple(r[b] for b in by): r["n"] for r in rows.groupBy(*by).agg(F.count("target").alias("n")).collect()}
-            found = exact_quantiles(rows, "target", [alpha], by)
-            return {k: v[0] for k, v in found.items() if counts[k] >= at_least or by == ("smoker",)}
+            found = grouped_quantiles(rows, "target", [alpha], by)
+            return {k: v[0] for k, (n, v) in found.items() if n >= at_least or by == ("smoker",)}
 
         return cls(alpha, table("age_group", "bmi_category", "smoker"), table("age_group", "smoker"), table("smoker"))
 

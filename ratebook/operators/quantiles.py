@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratebook.functions.columns import col
 
@@ -117,13 +118,14 @@ def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple,
             open_.append(Bracket(group, ranks, 0, n, r["lo"], r["hi"]))
 
     small: list[Bracket] = []
+    whole: list[Bracket] = []
     while open_:
         wide = []
         for b in open_:
             if b.lo == b.hi:
                 out[b.group][1].update({k: b.lo for k in b.ranks})
             elif b.n <= SMALL_BRACKET:
-                small.append(b)
+                (whole if b.n == out[b.group][0] else small).append(b)
             else:
                 # Both ends are known already; asking for them needs no pass.
                 for k in list(b.ranks):
@@ -135,24 +137,46 @@ def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple,
         open_ = _narrow(rows, by, wide) if wide else []
 
     if small:
-        window = Window.partitionBy("bracket").orderBy("v")
-        ranked = (
-            rows.withColumn("bracket", _chain(small, by, lambda i, b: F.lit(i)))
-            .where(F.col("bracket").isNotNull())
-            .groupBy("bracket", "v").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("upto", F.sum("n").over(window))
-        )
-        wanted = _any(
-            (F.col("bracket") == i) & (F.col("upto") >= k - b.below) & (F.col("upto") - F.col("n") < k - b.below)
-            for i, b in enumerate(small) for k in b.ranks)
-        for r in ranked.where(wanted).collect():
+        marked = rows.withColumn("bracket", _chain(small, by, lambda i, b: F.lit(i))).where(F.col("bracket").isNotNull())
+        asked = [(i, k - b.below) for i, b in enumerate(small) for k in b.ranks]
+        for r in _ranked(marked, ["bracket"], asked):
             b = small[r["bracket"]]
-            for k in b.ranks:
-                if r["upto"] - r["n"] < k - b.below <= r["upto"]:
-                    out[b.group][1][k] = r["v"]
+            out[b.group][1][r["rank"] + b.below] = r["v"]
+    if whole:
+        part = rows
+        if len(whole) < len(out):
+            part = rows.where(_any(_of_group(b.group, by) for b in whole))
+        for r in _ranked(part, by, [(*b.group, k) for b in whole for k in b.ranks]):
+            out[tuple(r[c] for c in by)][1][r["rank"]] = r["v"]
     return out
 
 
+def _of_group(group: tuple, by: Sequence[str]) -> Column:
+    test = F.lit(True)
+    for name, value in zip(by, group):
+        test = test & F.col(name).eqNullSafe(F.lit(value))
+    return test
+
+
+def _ranked(rows: DataFrame, by: list[str], asked: list[tuple]) -> list:
+    """The values at the asked ranks of groups that hold at most SMALL_BRACKET rows each."""
+    keys = by or ["all"]
+    if not by:
+        rows = rows.withColumn("all", F.lit(0))
+        asked = [(0, *a) for a in asked]
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("rank", T.LongType())])
+    for field in schema.fields:
+        field.nullable = True
+    wanted = rows.sparkSession.createDataFrame(asked, schema).select(*[F.col(k).alias(f"w_{k}") for k in keys], "rank")
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))
+    ranked = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"w_{k}"))
+    hit = same & (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
+    return ranked.join(wanted, hit).select(*keys, "rank", "v").collect()
+
+
 def _any(tests: Iterable[Column]) -> Column:
     out = F.lit(False)
     for t in tests:
@@ -160,10 +184,10 @@ def _any(tests: Iterable[Column]) -> Column:
     return out
 
 
-def exact_quantiles(
+def grouped_quantiles(
     df: DataFrame, value, probs: Sequence[float], by: Sequence[str] = ()
-) -> dict[tuple, list[float]]:
-    """Linearly interpolated quantiles per group, exact for any number of rows."""
+) -> dict[tuple, tuple[int, list[float]]]:
+    """``{group: (n, quantiles)}``: linearly interpolated, exact for any number of rows."""
 
     def ranks(n: int):
         for p in probs:
@@ -179,10 +203,14 @@ def exact_quantiles(
             k = math.floor(position) + 1
             low, high = float(values[k]), float(values[min(k + 1, n)])
             row.append(low + (high - low) * (position - (k - 1)))
-        out[group] = row
+        out[group] = (n, row)
     return out
 
 
+def exact_quantiles(df: DataFrame, value, probs: Sequence[float], by: Sequence[str] = ()) -> dict[tuple, list[float]]:
+    return {group: row for group, (_, row) in grouped_quantiles(df, value, probs, by).items()}
+
+
 def quantiles(df: DataFrame, value, probs: Sequence[float]) -> list[float | None]:
     """Quantiles of one whole column."""
     return exact_quantiles(df, value, probs).get((), [None] * len(probs))

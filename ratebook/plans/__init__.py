@@ -1,6 +1,6 @@
 """Registered queries over the warehouse tables."""
 
-from ratebook.plans import features, metrics, pricing, registry, validation  # noqa: F401
+from ratebook.plans import features, metrics, pricing, registry, splits, transforms, validation  # noqa: F401
 
 
 def queries():
