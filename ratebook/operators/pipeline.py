@@ -6,10 +6,10 @@ import dataclasses
 import json
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ratebook.config import KEY, TARGET
+from ratebook.config import KEY, POLICY_COLUMNS, TARGET
 from ratebook.functions import features
 from ratebook.operators import transforms as t
 
@@ -33,6 +33,16 @@ class FeaturePipeline:
 
     @classmethod
     def fit(cls, df: DataFrame, target: str = TARGET, method: str = "yeo-johnson", products: bool = False) -> "FeaturePipeline":
+        # The six inputs and the target are kept between the passes, so that their source
+        # is read once; every feature is recomputed from them inside the scan stage.
+        inputs = df.select(KEY, *POLICY_COLUMNS, target).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return cls._fit(inputs, target, method, products)
+        finally:
+            inputs.unpersist()
+
+    @classmethod
+    def _fit(cls, df: DataFrame, target: str, method: str, products: bool) -> "FeaturePipeline":
         rows = features.featured(df)
         imputer = t.Imputer.fit(rows)
         rows = imputer.transform(rows)

@@ -17,11 +17,17 @@ from pyspark.sql import functions as F
 from ratebook.config import KEY, SPLIT_QUANTILES, WEIGHT_QUANTILES, WEIGHT_TIERS
 from ratebook.functions.columns import col, flag, hash_key, lookup
 from ratebook.operators.quantiles import order_statistics, quantiles
+from ratebook.session import work_path
 
 
-def quantile_bin(df: DataFrame, target: str, probs: Sequence[float]) -> Column:
-    """0-based right-closed quantile bin; equal edges collapse into one."""
-    edges = sorted(set(quantiles(df, target, probs)))
+def quantile_bin(df: DataFrame, target: str, probs: Sequence[float], among: Column | None = None) -> Column:
+    """0-based right-closed quantile bin; equal edges collapse into one.
+
+    ``among`` limits the rows that set the edges. It blanks the value instead of
+    filtering, as a filter would be pushed below everything computed so far.
+    """
+    value = col(target) if among is None else F.when(among, col(target))
+    edges = sorted({e for e in quantiles(df, value, probs) if e is not None})
     out = F.lit(0)
     for e in edges:
         out = out + flag(col(target) > F.lit(e))
@@ -32,13 +38,14 @@ def _take(n: int, share: float) -> int:
     return math.floor(n * share + 0.5)
 
 
-def _borders(df: DataFrame, stratum: str, ranks, key: str, seed: int) -> dict:
-    return order_statistics(df, hash_key(key, seed), ranks, by=[stratum])
+def _borders(df: DataFrame, stratum: str, ranks, key: str, seed: int, among: Column | None = None) -> dict:
+    value = hash_key(key, seed)
+    return order_statistics(df, value if among is None else F.when(among, value), ranks, by=[stratum])
 
 
-def split_off(df: DataFrame, stratum: str, share: float, key: str = KEY, seed: int = 42) -> Column:
+def split_off(df: DataFrame, stratum: str, share: float, key: str = KEY, seed: int = 42, among: Column | None = None) -> Column:
     """Condition that holds for exactly the rounded share of each stratum's rows."""
-    found = _borders(df, stratum, lambda n: [_take(n, share)] if _take(n, share) else [], key, seed)
+    found = _borders(df, stratum, lambda n: [_take(n, share)] if _take(n, share) else [], key, seed, among)
     limits = {g: v[_take(n, share)] for g, (n, v) in found.items() if v}
     return F.coalesce(hash_key(key, seed) <= lookup([stratum], limits).cast("long"), F.lit(False))
 
@@ -48,9 +55,9 @@ def train_val_test(df: DataFrame, target: str = "charges", key: str = KEY, seed:
     """Adds ``split``: test drawn per target band, then validation per fifth of the rest."""
     rows = df.withColumn("stratum", quantile_bin(df, target, probs))
     rows = rows.withColumn("is_test", split_off(rows, "stratum", test, key, seed))
-    rest = rows.where(~F.col("is_test"))
-    rows = rows.withColumn("fifth", quantile_bin(rest, target, [0.2, 0.4, 0.6, 0.8]))
-    in_val = split_off(rows.where(~F.col("is_test")), "fifth", val, key, seed + 1)
+    rest = ~F.col("is_test")
+    rows = rows.withColumn("fifth", quantile_bin(rows, target, [0.2, 0.4, 0.6, 0.8], rest))
+    in_val = split_off(rows, "fifth", val, key, seed + 1, rest)
     split = F.when(F.col("is_test"), "test").when(in_val, "val").otherwise("train")
     return rows.withColumn("split", split).drop("is_test", "fifth")
 
@@ -77,6 +84,14 @@ def folds(df: DataFrame, target: str, k: int = 5, key: str = KEY, seed: int = 42
     return rows.withColumn("fold", fold)
 
 
+def stored(df: DataFrame, name: str = "splits") -> DataFrame:
+    """Write a split table to the shared folder and read it back: later runs replay it."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def disjointness(splits: DataFrame, key: str = KEY, split: str = "split") -> DataFrame:
     """Rows, ids and ids that occur in more than one split."""
     per_id = splits.groupBy(key).agg(

@@ -19,7 +19,7 @@ from ratebook.operators.quantiles import column_quantiles, quantiles
 
 NUMERIC_KINDS = ("int", "bigint", "double", "float", "smallint", "tinyint")
 RAW_NUMERIC = ("age", "bmi", "children")
-EXPRESSIONS_PER_PASS = 200
+EXPRESSIONS_PER_PASS = 40
 
 
 def numeric_columns(df: DataFrame, leave_out: Sequence[str] = ("policy_id", "charges")) -> list[str]:
@@ -298,7 +298,8 @@ class Scaler:
         broken = [c for c, n in bad.items() if n]
         if broken:
             raise ValueError(f"null or infinite values in: {', '.join(broken)}")
-        columns = [c for c in columns if c in distinct_over_two(df, columns)]
+        many = distinct_over_two(df, columns)
+        columns = [c for c in columns if c in many]
         stats = aggregate(df, {(c, k): f(c) for c in columns for k, f in (("mean", F.avg), ("std", F.stddev_pop))})
         return cls({c: (stats[c, "mean"], stats[c, "std"] or 1.0) for c in columns})
 

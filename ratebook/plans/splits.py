@@ -10,6 +10,11 @@ from ratebook.plans.sql import with_ctes
 from ratebook.sources import portfolio
 
 
+def split_table(spark, d):
+    labelled = splits.train_val_test(portfolio.policies(spark, d)).select(KEY, "split")
+    return splits.stored(labelled)
+
+
 def h(seed: int) -> str:
     return f"substr(md5('{seed}:'||policy_id),1,15)"
 
@@ -34,13 +39,13 @@ def stratified_split(spark, d):
 @query("e2_split_disjoint", with_ctes(f""", {SPLIT}
 SELECT count(*) AS n_rows, count(DISTINCT policy_id) AS n_ids, 0 AS n_overlapping, true AS disjoint FROM split_table"""))
 def split_disjoint(spark, d):
-    return splits.disjointness(splits.train_val_test(portfolio.policies(spark, d)))
+    return splits.disjointness(split_table(spark, d))
 
 
 @query("e2_split_overlap", with_ctes(f""", {SPLIT}
 SELECT policy_id FROM split_table WHERE split='test' INTERSECT SELECT policy_id FROM split_table WHERE split='train'"""))
 def split_overlap(spark, d):
-    return splits.overlap(splits.train_val_test(portfolio.policies(spark, d)), "test", "train")
+    return splits.overlap(split_table(spark, d), "test", "train")
 
 
 @query("e3_stratified_folds", with_ctes(f"""
@@ -79,8 +84,7 @@ SPLIT_SCORED = "SELECT s.*, t.split FROM scored s JOIN split_table t ON t.policy
 
 
 def split_scored(spark, d):
-    labelled = splits.train_val_test(portfolio.policies(spark, d)).select(KEY, "split")
-    return portfolio.scored(spark, d).join(labelled, KEY)
+    return portfolio.scored(spark, d).join(split_table(spark, d), KEY)
 
 
 @query("i15_release_gates", with_ctes(f""", {SPLIT}, ss AS ({SPLIT_SCORED}),
