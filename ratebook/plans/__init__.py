@@ -1,6 +1,8 @@
 """Registered queries over the warehouse tables."""
 
-from ratebook.plans import features, metrics, pricing, registry, splits, transforms, validation  # noqa: F401
+from ratebook.plans import (  # noqa: F401
+    drift, features, files, intervals, metrics, pricing, registry, splits, streams, transforms, validation,
+)
 
 
 def queries():

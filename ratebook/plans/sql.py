@@ -47,7 +47,7 @@ CTES = {
     "noted": """SELECT *, CASE policy_id % 11 WHEN 0 THEN '=SUM(A1)' WHEN 1 THEN '-5' WHEN 2 THEN 'cmd|calc'
       WHEN 3 THEN ' @home' WHEN 4 THEN 'Use PowerShell now' WHEN 5 THEN '  ' WHEN 6 THEN NULL
       ELSE 'renewal' END AS note FROM policies""",
-    "requests": "SELECT event_id, ts, event_type, value AS latency, event_type <> 'error' AS ok FROM events",
+    "requests": "SELECT event_id, ts, event_type, value AS latency, event_type <> 'error' AS ok, event_type = 'signup' AS rejected FROM events",
     "shifted": """SELECT policy_id, age + 3 AS age, sex, bmi, children, smoker,
       CASE WHEN policy_id % 4 = 0 THEN 'southeast' ELSE region END AS region, charges FROM policies""",
     "stacked": """SELECT policy_id, 'ml' AS model, y_true, ml_pred AS price FROM scored
@@ -91,7 +91,8 @@ def with_ctes(body: str, **extra: str) -> str:
     for n in roots:
         add(n)
     if not wanted:
-        return body
+        body = body.lstrip()
+        return "WITH " + body[1:] if body.startswith(",") else body
     head = "WITH " + ",\n".join(f"{n} AS ({pool[n]})" for n in wanted)
     body = body.lstrip()
     return head + ("" if body.startswith(",") else "\n") + body

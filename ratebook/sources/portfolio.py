@@ -82,7 +82,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies as text with typical defects: the input of validation."""
-    p = policies(spark, sf_dir)
+    return raw_from(policies(spark, sf_dir))
+
+
+def raw_from(p: DataFrame) -> DataFrame:
     key = F.col("policy_id")
 
     def defect(column: str, modulus: int, bad):
@@ -119,14 +122,15 @@ def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring requests: one event each, its value read as a latency."""
+    """Scoring requests: one event each, its value read as a latency; sign-ups stand for
+    requests turned away before they were scored."""
     return requests_from(table(spark, sf_dir, "events"))
 
 
 def requests_from(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id", "ts", "event_type", F.col("value").alias("latency"),
-        (F.col("event_type") != "error").alias("ok"))
+        (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "signup").alias("rejected"))
 
 
 def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
