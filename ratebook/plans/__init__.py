@@ -1,7 +1,7 @@
 """Registered queries over the warehouse tables."""
 
 from ratebook.plans import (  # noqa: F401
-    drift, features, files, intervals, metrics, pricing, registry, splits, streams, transforms, validation,
+    drift, features, files, intervals, learning, metrics, pricing, registry, splits, streams, transforms, validation,
 )
 
 

@@ -25,7 +25,7 @@ def stream_drift(spark, d):
     baseline = monitors.event_baseline(portfolio.table(spark, d, "events"))
     stream = monitors.windowed_drift(monitors.stream_table(spark, d, "events"), baseline)
     out = monitors.drained(stream, "drift")
-    return rounded(out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start"), 6)
+    return rounded(out.withColumn("day", monitors.utc_day("window_start")).drop("window_start"), 6)
 
 
 @query("l11_stream_requests", with_ctes("""
@@ -35,7 +35,7 @@ def stream_requests(spark, d):
     """Without the approximate percentiles, which have no exact counterpart."""
     log = portfolio.requests_from(monitors.stream_table(spark, d, "events"))
     out = monitors.drained(monitors.windowed_requests(log), "requests")
-    return rounded(out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "p50", "p95", "p99"), 6)
+    return rounded(out.withColumn("day", monitors.utc_day("window_start")).drop("window_start", "p50", "p95", "p99"), 6)
 
 
 @query("l12_stream_scoring", with_ctes(f"""

@@ -1,4 +1,4 @@
-"""Session helpers: where shared working files live, and how lineage is cut."""
+"""Session helpers: where shared working files live."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Root folder for checkpoints and working tables.
+    """Root folder for working tables and stream checkpoints.
 
     A cluster names it in ``spark.checkpoint.dir``. Only when that is unset
     (tests on one machine) is a fresh local folder chosen, once per session.
@@ -18,22 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    path = tempfile.mkdtemp(prefix="ratebook-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ratebook-"))
+    return context.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()

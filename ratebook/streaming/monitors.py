@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.operators.drift import TVD_LIMIT, Z_LIMIT
@@ -22,6 +22,18 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def timed(stream: DataFrame, column: str = "ts") -> DataFrame:
+    """A zone-free time as the instant with the same clock time in UTC: event time needs
+    instants, and day windows are cut in UTC whatever zone the session uses."""
+    if dict(stream.dtypes)[column] != "timestamp_ntz":
+        return stream
+    return stream.withColumn(column, F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone()))
+
+
+def utc_day(instant) -> Column:
+    return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd")
+
+
 def event_baseline(events: DataFrame) -> dict:
     """Mean, sample deviation and category shares of a reference period."""
     row = events.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n")).first()
@@ -32,7 +44,7 @@ def event_baseline(events: DataFrame) -> dict:
 def windowed_drift(events: DataFrame, baseline: dict, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """z of the mean and total variation of the categories, per window, from additive state only."""
     shares = baseline["shares"]
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(
+    counts = timed(events).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(
         F.count("value").alias("n"), F.avg("value").alias("new_mean"), F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col("event_type") == k).alias(f"n_{i}") for i, k in enumerate(shares)])
     known = sum((F.col(f"n_{i}") for i in range(len(shares))), F.lit(0))
@@ -49,7 +61,7 @@ def windowed_drift(events: DataFrame, baseline: dict, window: str = "1 day", lat
 def windowed_requests(log: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     served = ~F.col("rejected")
     latency = F.when(served, F.col("latency"))
-    return log.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(
+    return timed(log).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(
         F.count_if(served).alias("total"), F.count_if(served & ~F.col("ok")).alias("errors"),
         F.count_if("rejected").alias("rejected"), F.avg(latency).alias("mean"),
         *[F.percentile_approx(latency, p, 1000).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
