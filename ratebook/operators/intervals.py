@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ratebook.config import Z_VALUES
 from ratebook.functions.columns import clip, col
-from ratebook.operators.quantiles import median, order_statistics, quantiles
+from ratebook.operators.quantiles import kept, median, order_statistics, quantiles
 from ratebook.operators.transforms import TargetTransform
 
 
@@ -46,6 +46,11 @@ class ConformalBins:
     @classmethod
     def fit(cls, df: DataFrame, prediction: str, residual: str, alpha: float = 0.10, bins: int = 10,
             rows_per_bin: int = 30, winsor: float = 0.95) -> "ConformalBins | None":
+        with kept(df.select(prediction, residual)) as narrow:
+            return cls._fit(narrow, prediction, residual, alpha, bins, rows_per_bin, winsor)
+
+    @classmethod
+    def _fit(cls, df, prediction, residual, alpha, bins, rows_per_bin, winsor) -> "ConformalBins | None":
         size = F.abs(col(residual))
         overall = order_statistics(df, size, lambda n: [conformal_rank(n, alpha)])
         if () not in overall or overall[()][0] < 50:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratebook.config import AGE_EDGES, AGE_LABELS, BMI_EDGES, BMI_LABELS
 from ratebook.functions import moments as m
 from ratebook.functions.columns import band, col, lookup
-from ratebook.operators.quantiles import grouped_quantiles
+from ratebook.operators.quantiles import grouped_quantiles, kept
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,8 @@ class QuantileTable:
             found = grouped_quantiles(rows, "target", [alpha], by)
             return {k: v[0] for k, (n, v) in found.items() if n >= at_least or by == ("smoker",)}
 
-        return cls(alpha, table("age_group", "bmi_category", "smoker"), table("age_group", "smoker"), table("smoker"))
+        with kept(rows):
+            return cls(alpha, table("age_group", "bmi_category", "smoker"), table("age_group", "smoker"), table("smoker"))
 
     @staticmethod
     def _placed(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -36,32 +37,50 @@ class Bracket:
     hi: object
 
 
-def _inside(bracket: Bracket, by: Sequence[str]) -> Column:
-    test = F.col("v").between(F.lit(bracket.lo), F.lit(bracket.hi))
-    for name, value in zip(by, bracket.group):
-        test = test & F.col(name).eqNullSafe(F.lit(value))
-    return test
+@contextmanager
+def kept(df: DataFrame):
+    """Hold a narrow table between the passes of a fit; a lost block is recomputed."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
 
 
-def _chain(brackets: Sequence[Bracket], by: Sequence[str], value: Callable) -> Column:
-    out = None
-    for i, b in enumerate(brackets):
-        v = value(i, b)
-        out = F.when(_inside(b, by), v) if out is None else out.when(_inside(b, by), v)
-    return out
+def _matched(rows: DataFrame, by: Sequence[str], table: list[tuple], fields: Sequence[T.StructField], test: Column) -> DataFrame:
+    """Inner join with a local table of a few rows per group; its size is known to Spark."""
+    keys = [T.StructField(f"w_{k}", rows.schema[k].dataType) for k in by]
+    local = rows.sparkSession.createDataFrame(table, T.StructType([*keys, *fields]))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"w_{k}"))
+    return rows.join(local, same & test)
+
+
+def _bracketed(rows: DataFrame, by: Sequence[str], brackets: Sequence[Bracket]) -> DataFrame:
+    """Rows inside a bracket, with its number, ends and scale. The brackets of a group are disjoint."""
+    kind = rows.schema["v"].dataType
+    fields = [T.StructField("bracket", T.IntegerType()), T.StructField("lo", kind), T.StructField("hi", kind),
+              T.StructField("scale", T.DoubleType())]
+    table = [(*b.group, i, b.lo, b.hi, 1.0 if math.isfinite(float(b.hi) - float(b.lo)) else 0.5)
+             for i, b in enumerate(brackets)]
+    return _matched(rows, by, table, fields, F.col("v").between(F.col("lo"), F.col("hi")))
+
+
+def _distance(rows: DataFrame, a: str, b: str) -> Column:
+    """a - b as a double: exact for whole numbers, without overflow for any range."""
+    if isinstance(rows.schema["v"].dataType, (T.DoubleType, T.FloatType)):
+        return F.col(a) * F.col("scale") - F.col(b) * F.col("scale")
+    return (F.col(a).cast("decimal(20,0)") - F.col(b).cast("decimal(20,0)")).cast("double")
 
 
 def _narrow(rows: DataFrame, by: Sequence[str], wide: list[Bracket]) -> list[Bracket]:
-    """Replace each bracket by the slices that hold its ranks: one counting pass."""
-    slice_of = _chain(
-        wide, by,
-        lambda i, b: F.least(
-            F.floor((F.col("v") - F.lit(b.lo)) / F.lit(float(b.hi) - float(b.lo)) * SLICES),
-            F.lit(SLICES - 1)).cast("int"))
+    """Replace each bracket by the slices that hold its ranks: one counting pass. Both ends
+    of a bracket fall into different slices, so every pass makes it smaller."""
+    place = F.floor(_distance(rows, "v", "lo") / _distance(rows, "hi", "lo") * SLICES)
     counts = (
-        rows.withColumn("bracket", _chain(wide, by, lambda i, b: F.lit(i)))
-        .where(F.col("bracket").isNotNull())
-        .groupBy("bracket", slice_of.alias("slice"))
+        _bracketed(rows, by, wide)
+        .groupBy("bracket", F.least(place, F.lit(SLICES - 1)).cast("int").alias("slice"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()
     )
@@ -91,12 +110,9 @@ def order_statistics(
     """
     # Only the value and its group are kept between the passes: the source is computed
     # once, and a lost block is recomputed from it.
-    narrow = df.select(*by, col(value).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(df.select(*by, col(value).alias("v"))) as narrow:
         known = F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))
         return _order_statistics(narrow.where(known), ranks_for, list(by))
-    finally:
-        narrow.unpersist()
 
 
 def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple, tuple[int, dict[int, object]]]:
@@ -124,6 +140,8 @@ def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple,
         for b in open_:
             if b.lo == b.hi:
                 out[b.group][1].update({k: b.lo for k in b.ranks})
+            elif math.isinf(float(b.lo)) or math.isinf(float(b.hi)):
+                raise ValueError("order statistics need finite values")
             elif b.n <= SMALL_BRACKET:
                 (whole if b.n == out[b.group][0] else small).append(b)
             else:
@@ -137,51 +155,32 @@ def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple,
         open_ = _narrow(rows, by, wide) if wide else []
 
     if small:
-        marked = rows.withColumn("bracket", _chain(small, by, lambda i, b: F.lit(i))).where(F.col("bracket").isNotNull())
+        marked = _bracketed(rows, by, small).select("bracket", "v")
         asked = [(i, k - b.below) for i, b in enumerate(small) for k in b.ranks]
         for r in _ranked(marked, ["bracket"], asked):
             b = small[r["bracket"]]
             out[b.group][1][r["rank"] + b.below] = r["v"]
     if whole:
-        part = rows
-        if len(whole) < len(out):
-            part = rows.where(_any(_of_group(b.group, by) for b in whole))
-        for r in _ranked(part, by, [(*b.group, k) for b in whole for k in b.ranks]):
+        for r in _ranked(rows, by, [(*b.group, k) for b in whole for k in b.ranks]):
             out[tuple(r[c] for c in by)][1][r["rank"]] = r["v"]
     return out
 
 
-def _of_group(group: tuple, by: Sequence[str]) -> Column:
-    test = F.lit(True)
-    for name, value in zip(by, group):
-        test = test & F.col(name).eqNullSafe(F.lit(value))
-    return test
-
-
 def _ranked(rows: DataFrame, by: list[str], asked: list[tuple]) -> list:
     """The values at the asked ranks of groups that hold at most SMALL_BRACKET rows each."""
     keys = by or ["all"]
     if not by:
         rows = rows.withColumn("all", F.lit(0))
         asked = [(0, *a) for a in asked]
-    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("rank", T.LongType())])
-    for field in schema.fields:
-        field.nullable = True
-    wanted = rows.sparkSession.createDataFrame(asked, schema).select(*[F.col(k).alias(f"w_{k}") for k in keys], "rank")
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))
-    ranked = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"w_{k}"))
-    hit = same & (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
-    return ranked.join(wanted, hit).select(*keys, "rank", "v").collect()
-
-
-def _any(tests: Iterable[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+    counted = rows
+    if len(asked) and keys != ["all"]:
+        # Groups nobody asks about may be of any size: leave them out of the window.
+        groups = sorted({a[:-1] for a in asked}, key=repr)
+        counted = _matched(rows, keys, groups, [], F.lit(True)).select(*keys, "v")
+    ranked = counted.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    hit = (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
+    return _matched(ranked, keys, asked, [T.StructField("rank", T.LongType())], hit).select(*keys, "rank", "v").collect()
 
 
 def grouped_quantiles(

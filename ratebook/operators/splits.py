@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ratebook.config import KEY, SPLIT_QUANTILES, WEIGHT_QUANTILES, WEIGHT_TIERS
 from ratebook.functions.columns import col, flag, hash_key, lookup
-from ratebook.operators.quantiles import order_statistics, quantiles
+from ratebook.operators.quantiles import kept, order_statistics, quantiles
 from ratebook.session import work_path
 
 
@@ -52,36 +52,46 @@ def split_off(df: DataFrame, stratum: str, share: float, key: str = KEY, seed: i
 
 def train_val_test(df: DataFrame, target: str = "charges", key: str = KEY, seed: int = 42, test: float = 0.15,
                    val: float = 0.20, probs: Sequence[float] = SPLIT_QUANTILES) -> DataFrame:
-    """Adds ``split``: test drawn per target band, then validation per fifth of the rest."""
-    rows = df.withColumn("stratum", quantile_bin(df, target, probs))
-    rows = rows.withColumn("is_test", split_off(rows, "stratum", test, key, seed))
-    rest = ~F.col("is_test")
-    rows = rows.withColumn("fifth", quantile_bin(rows, target, [0.2, 0.4, 0.6, 0.8], rest))
-    in_val = split_off(rows, "fifth", val, key, seed + 1, rest)
+    """Adds ``split``: test drawn per target band, then validation per fifth of the rest.
+
+    The borders are found on the key and the target alone, read once.
+    """
+    with kept(df.select(key, target)) as narrow:
+        stratum = quantile_bin(narrow, target, probs)
+        rows = narrow.withColumn("stratum", stratum)
+        is_test = split_off(rows, "stratum", test, key, seed)
+        rows = rows.withColumn("is_test", is_test)
+        rest = ~F.col("is_test")
+        fifth = quantile_bin(rows, target, [0.2, 0.4, 0.6, 0.8], rest)
+        in_val = split_off(rows.withColumn("fifth", fifth), "fifth", val, key, seed + 1, rest)
+    out = df.withColumn("stratum", stratum).withColumn("is_test", is_test).withColumn("fifth", fifth)
     split = F.when(F.col("is_test"), "test").when(in_val, "val").otherwise("train")
-    return rows.withColumn("split", split).drop("is_test", "fifth")
+    return out.withColumn("split", split).drop("is_test", "fifth")
 
 
 def holdout(df: DataFrame, target: str, key: str = KEY, seed: int = 42, share: float = 0.4, bins: int = 7) -> DataFrame:
     """Calibration and holdout rows, stratified on equal-count bins of the target."""
-    rows = df.withColumn("stratum", quantile_bin(df, target, [i / bins for i in range(1, bins)]))
-    return rows.withColumn("part", F.when(split_off(rows, "stratum", share, key, seed), "holdout").otherwise("calibration"))
+    with kept(df.select(key, target)) as narrow:
+        stratum = quantile_bin(narrow, target, [i / bins for i in range(1, bins)])
+        held = split_off(narrow.withColumn("stratum", stratum), "stratum", share, key, seed)
+    return df.withColumn("stratum", stratum).withColumn("part", F.when(held, "holdout").otherwise("calibration"))
 
 
 def folds(df: DataFrame, target: str, k: int = 5, key: str = KEY, seed: int = 42,
           probs: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """Adds ``fold``: within each quantile bin the folds differ by one row at most."""
-    rows = df.withColumn("stratum", quantile_bin(df, target, probs))
 
     def ranks(n):
         return [j * n // k for j in range(1, k) if j * n // k]
 
-    found = _borders(rows, "stratum", ranks, key, seed)
+    with kept(df.select(key, target)) as narrow:
+        stratum = quantile_bin(narrow, target, probs)
+        found = _borders(narrow.withColumn("stratum", stratum), "stratum", ranks, key, seed)
     fold = F.lit(0)
     for j in range(1, k):
         limits = {g: v[j * n // k] if j * n // k else -1 for g, (n, v) in found.items()}
         fold = fold + flag(hash_key(key, seed) > lookup(["stratum"], limits).cast("long"))
-    return rows.withColumn("fold", fold)
+    return df.withColumn("stratum", stratum).withColumn("fold", fold)
 
 
 def stored(df: DataFrame, name: str = "splits") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ratebook.functions import targets
 from ratebook.functions.columns import clip, col, lookup
-from ratebook.operators.quantiles import column_quantiles, quantiles
+from ratebook.operators.quantiles import column_quantiles, kept, quantiles
 
 NUMERIC_KINDS = ("int", "bigint", "double", "float", "smallint", "tinyint")
 RAW_NUMERIC = ("age", "bmi", "children")
@@ -335,7 +335,12 @@ class TargetTransform:
 
     @classmethod
     def fit(cls, df: DataFrame, target="charges", method: str = "yeo-johnson", buffer: float = 0.40) -> "TargetTransform":
-        y = col(target).cast("double")
+        with kept(df.select(col(target).cast("double").alias("y"))) as narrow:
+            return cls._fit(narrow, method, buffer)
+
+    @classmethod
+    def _fit(cls, df: DataFrame, method: str, buffer: float) -> "TargetTransform":
+        y = F.col("y")
         ends = df.agg(F.min(y).alias("lo"), F.max(y).alias("hi")).first()
         if method == "boxcox" and ends["lo"] <= 0:
             raise ValueError("a Box-Cox transform needs positive values")

@@ -195,12 +195,12 @@ def _grid_sql(field, smoker="smoker"):
 def _register_sweep(field):
     @query(f"g17_sweep_{field}", with_ctes(f"""
 , gr AS ({_grid_sql(field)}), pr AS (SELECT *, {ACT} AS premium FROM gr), ch AS (SELECT *, (premium-base_premium)/base_premium*100.0 AS change_pct FROM pr)
-SELECT grid_value, count(*) AS n, round(avg(premium),4) AS mean_premium, round(min(premium),4) AS min_premium, round(max(premium),4) AS max_premium,
+SELECT grid_value, count(*) AS n, round(avg(premium),4) AS mean_premium, round(min(premium),6) AS min_premium, round(max(premium),6) AS max_premium,
  round(avg(change_pct),6) AS mean_change_pct FROM ch GROUP BY grid_value"""))
     def run(spark, d):
         rows = op.sweep(portfolio.policies(spark, d), field)
         return rounded(op.sweep_curve(rows, "grid_value"), {
-            "mean_premium": 4, "min_premium": 4, "max_premium": 4, "mean_change_pct": 6})
+            "mean_premium": 4, "min_premium": 6, "max_premium": 6, "mean_change_pct": 6})
 
 
 for _f in op.SWEEP_GRIDS:
@@ -210,12 +210,12 @@ for _f in op.SWEEP_GRIDS:
 @query("g18_sweep_two_way", with_ctes(f"""
 , g0 AS ({_grid_sql('age')}), gr AS (SELECT policy_id, base_premium, grid_value, age, bmi, children, unnest(['no','yes']) AS smoker, region FROM g0),
 pr AS (SELECT *, {ACT} AS premium FROM gr), ch AS (SELECT *, (premium-base_premium)/base_premium*100.0 AS change_pct FROM pr)
-SELECT grid_value, smoker, count(*) AS n, round(avg(premium),4) AS mean_premium, round(min(premium),4) AS min_premium, round(max(premium),4) AS max_premium,
+SELECT grid_value, smoker, count(*) AS n, round(avg(premium),4) AS mean_premium, round(min(premium),6) AS min_premium, round(max(premium),6) AS max_premium,
  round(avg(change_pct),6) AS mean_change_pct FROM ch GROUP BY grid_value, smoker"""))
 def sweep_two_way(spark, d):
     rows = op.sweep(portfolio.policies(spark, d), "age", by_smoker=True)
     return rounded(op.sweep_curve(rows, "grid_value", "smoker"), {
-        "mean_premium": 4, "min_premium": 4, "max_premium": 4, "mean_change_pct": 6})
+        "mean_premium": 4, "min_premium": 6, "max_premium": 6, "mean_change_pct": 6})
 
 
 @query("g19_last_scenarios", with_ctes("""

@@ -88,14 +88,14 @@ _POLY = ("age", "bmi", "children", "bmi_squared", "age_squared", "family_size")
 _POLY_SQL = {"age": "age", "bmi": "bmi", "children": "children", "bmi_squared": "(bmi*bmi)", "age_squared": "(age*age)", "family_size": "(children+1)"}
 
 
-@query("d6_product_features", with_ctes("SELECT feature, round(v, 2) AS variance, row_number() OVER (ORDER BY v DESC) <= 10 AS kept FROM (" + " UNION ALL ".join(
+@query("d6_product_features", with_ctes("SELECT feature, round(v/1e9, 6) AS variance, row_number() OVER (ORDER BY v DESC) <= 10 AS kept FROM (" + " UNION ALL ".join(
     f"SELECT '{a}_x_{b}' AS feature, var_pop(CAST({_POLY_SQL[a]} AS DOUBLE)*{_POLY_SQL[b]}) AS v FROM policies"
     for i, a in enumerate(_POLY) for b in _POLY[i + 1:]) + ")"))
 def product_features(spark, d):
     fit = t.Products.fit(featured(spark, d), _POLY, keep=10)
     kept = {fit.name(p) for p in fit.pairs}
-    rows = [(k, v, k in kept) for k, v in fit.variances.items()]
-    return rounded(spark.createDataFrame(rows, "feature string, variance double, kept boolean"), 2)
+    rows = [(k, v / 1e9, k in kept) for k, v in fit.variances.items()]  # in billions: up to 1e13 fits no fixed decimals
+    return rounded(spark.createDataFrame(rows, "feature string, variance double, kept boolean"), 6)
 
 
 _CORR = ("age", "bmi", "children", "charges", "smoker_bmi", "age_bmi", "smoker_age", "bmi_squared")

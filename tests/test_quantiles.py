@@ -36,8 +36,20 @@ def test_empty_and_single(spark):
     assert q.quantiles(one, "v", [0.1, 0.9]) == [3.0, 3.0]
 
 
-def test_long_values_keep_every_digit(spark):
+@pytest.mark.parametrize("limit", [500_000, 1])
+def test_long_values_keep_every_digit(spark, monkeypatch, limit):
+    monkeypatch.setattr(q, "SMALL_BRACKET", limit)
     big = 2**60
-    df = spark.createDataFrame([(big + i,) for i in range(10)], "v long")
-    n, found = q.order_statistics(df, "v", lambda n: [3, 10])[()]
-    assert n == 10 and found == {3: big + 2, 10: big + 9}
+    df = spark.createDataFrame([(big + i,) for i in range(10)] + [(-(2**63),), (2**63 - 1,)], "v long")
+    n, found = q.order_statistics(df, "v", lambda n: [1, 3, 11, 12])[()]
+    assert n == 12 and found == {1: -(2**63), 3: big + 1, 11: big + 9, 12: 2**63 - 1}
+
+
+def test_extreme_doubles(spark, monkeypatch):
+    monkeypatch.setattr(q, "SMALL_BRACKET", 1)
+    values = [-1.7e308, -5e-324, 0.0, 5e-324, 1.0, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    n, found = q.order_statistics(df, "v", lambda n: range(1, n + 1))[()]
+    assert [found[k] for k in range(1, 7)] == values
+    with pytest.raises(ValueError):
+        q.quantiles(spark.createDataFrame([(1.0,), (float("inf"),)], "v double"), "v", [0.5])
