@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,35 +75,41 @@ def accuracy(y="y_true", p="price") -> dict[str, Column]:
     }
 
 
-def portfolio(y="y_true", p="price", e: Economics | None = None) -> dict[str, Column]:
-    """Totals and rates of the per-policy economics."""
+def portfolio(y="y_true", p="price", e: Economics | None = None, only: Iterable[str] | None = None) -> dict[str, Column]:
+    """Totals and rates of the per-policy economics: all of them, or the named ones."""
     e = e or Economics()
     row = policy_economics(y, p, e)
     n = F.count(col(y))
-    revenue, gross, net = F.sum(row["revenue"]), F.sum(row["gross_profit"]), F.sum(row["net_profit"])
-    churned = F.sum(row["churn_probability"])
-    accurate = F.count_if(row["accurate"])
-    return {
-        "total_revenue": revenue,
-        "total_claims": F.sum(col(y)),
-        "total_admin": n * F.lit(e.admin),
-        "total_gross_profit": gross,
-        "gross_margin_pct": F.coalesce(F.try_divide(gross, revenue) * 100.0, F.lit(0.0)),
-        "total_churn_cost": F.sum(row["churn_cost"]),
-        "total_underpricing_penalty": F.sum(row["underpricing_penalty"]),
-        "total_accuracy_bonus": F.sum(row["accuracy_bonus"]),
-        "total_net_profit": net,
-        "net_margin_pct": F.coalesce(F.try_divide(net, revenue) * 100.0, F.lit(0.0)),
-        "profit_per_policy": F.try_divide(net, n),
-        "expected_churned": churned,
-        "churn_rate_pct": F.try_divide(churned, n) * 100.0,
-        "n_underpriced": F.count_if(row["error"] < 0),
-        "n_overpriced": F.count_if(row["error"] > 0),
+
+    def total(name):
+        return F.sum(row[name])
+
+    def accurate():
+        return F.count_if(row["accurate"])
+
+    measures = {
+        "total_revenue": lambda: total("revenue"),
+        "total_claims": lambda: F.sum(col(y)),
+        "total_admin": lambda: n * F.lit(e.admin),
+        "total_gross_profit": lambda: total("gross_profit"),
+        "gross_margin_pct": lambda: F.coalesce(F.try_divide(total("gross_profit"), total("revenue")) * 100.0, F.lit(0.0)),
+        "total_churn_cost": lambda: total("churn_cost"),
+        "total_underpricing_penalty": lambda: total("underpricing_penalty"),
+        "total_accuracy_bonus": lambda: total("accuracy_bonus"),
+        "total_net_profit": lambda: total("net_profit"),
+        "net_margin_pct": lambda: F.coalesce(F.try_divide(total("net_profit"), total("revenue")) * 100.0, F.lit(0.0)),
+        "profit_per_policy": lambda: F.try_divide(total("net_profit"), n),
+        "expected_churned": lambda: total("churn_probability"),
+        "churn_rate_pct": lambda: F.try_divide(total("churn_probability"), n) * 100.0,
+        "n_underpriced": lambda: F.count_if(row["error"] < 0),
+        "n_overpriced": lambda: F.count_if(row["error"] > 0),
         "n_accurate": accurate,
-        "accuracy_rate_pct": F.try_divide(accurate, n) * 100.0,
-        "business_score": business_score(
-            F.try_divide(net, n), F.try_divide(churned, n), F.try_divide(accurate, n), e),
+        "accuracy_rate_pct": lambda: F.try_divide(accurate(), n) * 100.0,
+        "business_score": lambda: business_score(
+            F.try_divide(total("net_profit"), n), F.try_divide(total("churn_probability"), n),
+            F.try_divide(accurate(), n), e),
     }
+    return {k: measures[k]() for k in (only or measures)}
 
 
 def skew_pop(x) -> Column:

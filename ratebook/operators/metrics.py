@@ -70,8 +70,7 @@ def portfolio_report(df: DataFrame, y="y_true", p="price", by: Sequence[str] = (
 def segment_report(df: DataFrame, tiers: Tiers = SEGMENTS, y="y_true", p="price") -> DataFrame:
     """Accuracy and economics per band of the true charge."""
     rows = df.withColumn("segment", tier(y, tiers))
-    money = m.portfolio(y, p)
-    keep = {k: money[k] for k in ("total_net_profit", "profit_per_policy", "churn_rate_pct")}
+    keep = m.portfolio(y, p, only=("total_net_profit", "profit_per_policy", "churn_rate_pct"))
     out = rows.groupBy("segment").agg(*m.named({**m.accuracy(y, p), **keep, "n": F.count("segment")})).where("n > 0")
     return _with_share(out).withColumn("median_error", medians(rows, col(p) - col(y), ["segment"]))
 
@@ -361,13 +360,12 @@ def config_sweep(df: DataFrame, configs: list[dict] | None = None, y="y_true", m
     hard = blend(learned, "act", window=None, **p).final
     mixed = F.when(F.col("position") == 0, F.col("ml")).when(F.col("soft"), soft).otherwise(hard)
     price = F.when(F.col("ml_only"), mixed).otherwise(mixed * F.col("factor"))
-    money = m.portfolio()
-    keep = ("total_net_profit", "profit_per_policy", "churn_rate_pct", "business_score", "expected_churned",
-            "total_underpricing_penalty")
+    money = m.portfolio(only=("total_net_profit", "profit_per_policy", "churn_rate_pct", "business_score",
+                              "expected_churned", "total_underpricing_penalty"))
     return rows.withColumn("price", price).groupBy("position", "name").agg(
         m.mape("y_true", "price").alias("mape"), m.smape("y_true", "price").alias("smape"),
         m.rmse("y_true", "price").alias("rmse"), m.mae("y_true", "price").alias("mae"),
-        m.r2("y_true", "price").alias("r2"), *[money[k].alias(k) for k in keep],
+        m.r2("y_true", "price").alias("r2"), *m.named(money),
         *([m.share(F.col("price") > F.col("y_true")).alias("overpricing_rate")] if overpricing else []))
 
 
@@ -382,8 +380,8 @@ def marked_best(sweep: DataFrame) -> DataFrame:
 
 def decision(df: DataFrame, y="y_true", ml="ml_pred", hybrid="hybrid_pred", aggressive: bool = False) -> DataFrame:
     """Five wins of the blended over the learned premium, and the verdict."""
-    a, b = m.portfolio(y, ml), m.portfolio(y, hybrid)
     keys = ("total_net_profit", "churn_rate_pct", "business_score", "total_underpricing_penalty", "profit_per_policy")
+    a, b = m.portfolio(y, ml, only=keys), m.portfolio(y, hybrid, only=keys)
 
     def severe(p):
         return F.count_if(policy_economics(y, p)["error_share"] < -0.5)

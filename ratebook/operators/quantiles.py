@@ -161,26 +161,42 @@ def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple,
             b = small[r["bracket"]]
             out[b.group][1][r["rank"] + b.below] = r["v"]
     if whole:
-        for r in _ranked(rows, by, [(*b.group, k) for b in whole for k in b.ranks]):
+        for r in _ranked(rows, by, [(*b.group, k) for b in whole for k in b.ranks], some=len(whole) < len(out)):
             out[tuple(r[c] for c in by)][1][r["rank"]] = r["v"]
     return out
 
 
-def _ranked(rows: DataFrame, by: list[str], asked: list[tuple]) -> list:
-    """The values at the asked ranks of groups that hold at most SMALL_BRACKET rows each."""
-    keys = by or ["all"]
+LITERAL_RANKS = 32
+
+
+def _ranked(rows: DataFrame, by: list[str], asked: list[tuple], some: bool = False) -> list[dict]:
+    """The values at the asked ranks of groups that hold at most SMALL_BRACKET rows each.
+
+    ``some`` says that other groups exist, of any size: they are left out of the window.
+    """
     if not by:
-        rows = rows.withColumn("all", F.lit(0))
-        asked = [(0, *a) for a in asked]
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))
-    counted = rows
-    if len(asked) and keys != ["all"]:
-        # Groups nobody asks about may be of any size: leave them out of the window.
+        rows, by, asked = rows.withColumn("all", F.lit(0)), ["all"], [(0, *a) for a in asked]
+    if some:
         groups = sorted({a[:-1] for a in asked}, key=repr)
-        counted = _matched(rows, keys, groups, [], F.lit(True)).select(*keys, "v")
-    ranked = counted.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-    hit = (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
-    return _matched(ranked, keys, asked, [T.StructField("rank", T.LongType())], hit).select(*keys, "rank", "v").collect()
+        rows = _matched(rows, by, groups, [], F.lit(True)).select(*by, "v")
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("v"))
+    ranked = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    if len(asked) > LITERAL_RANKS:
+        hit = (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
+        found = _matched(ranked, by, asked, [T.StructField("rank", T.LongType())], hit).select(*by, "rank", "v")
+        return [r.asDict() for r in found.collect()]
+    wanted = F.lit(False)
+    for *group, k in asked:
+        test = (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
+        for name, value in zip(by, group):
+            test = test & F.col(name).eqNullSafe(F.lit(value))
+        wanted = wanted | test
+    out = []
+    for r in ranked.where(wanted).collect():
+        group = tuple(r[c] for c in by)
+        out += [{**r.asDict(), "rank": a[-1]} for a in asked
+                if a[:-1] == group and r["upto"] - r["n"] < a[-1] <= r["upto"]]
+    return out
 
 
 def grouped_quantiles(

@@ -13,7 +13,8 @@ from ratebook.operators import metrics
 
 def kpis(df: DataFrame, y="y_true", ml="ml_pred", hybrid="hybrid_pred", act="act_pred", rule: Blend | None = None) -> DataFrame:
     rule = rule or Blend()
-    a, b = m.portfolio(y, ml), m.portfolio(y, hybrid)
+    keys = ("total_net_profit", "profit_per_policy", "n_underpriced", "total_underpricing_penalty", "churn_rate_pct")
+    a, b = m.portfolio(y, ml, only=keys), m.portfolio(y, hybrid, only=keys)
     n = F.count(y)
     weight = F.avg(blend(ml, act, rule).weight)
     gain = F.try_divide(b["profit_per_policy"] - a["profit_per_policy"], F.abs(a["profit_per_policy"])) * 100.0

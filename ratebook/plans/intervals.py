@@ -32,8 +32,10 @@ cp AS (SELECT quantile_cont(abs(residual_z),0.95) AS cap FROM calib),
 sd AS (SELECT residual_z>0 AS pos, abs(residual_z) AS a, row_number() OVER (PARTITION BY residual_z>0 ORDER BY abs(residual_z)) AS rn, count(*) OVER (PARTITION BY residual_z>0) AS k FROM calib WHERE residual_z<>0),
 lv AS (SELECT ceil((n+1)*0.9)/n AS lev, overall FROM ov),
 asym AS (SELECT max(a) FILTER (pos)/max(overall) AS up, max(a) FILTER (NOT pos)/max(overall) AS down FROM sd, lv WHERE rn=least(CAST(ceil((k-1)*lev) AS BIGINT)+1,k)),
-ed AS (SELECT quantile_cont(pred_z,[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) AS e FROM calib),
-bn AS (SELECT c.*, least(len(list_filter(e, lambda x: pred_z > x)),9) AS bin FROM calib c, ed),
+sl AS (SELECT list_sort(list(pred_z)) AS s, count(*) AS m, greatest(1, least(10, count(*)//30)) AS nb FROM calib),
+ed AS (SELECT nb, list_transform(range(1,nb+1), lambda i: s[CAST(floor(i/nb*(m-1)) AS BIGINT)+1] + (s[least(CAST(floor(i/nb*(m-1)) AS BIGINT)+2,m)]
+  - s[CAST(floor(i/nb*(m-1)) AS BIGINT)+1])*(i/nb*(m-1)-floor(i/nb*(m-1)))) AS e FROM sl),
+bn AS (SELECT c.*, least(len(list_filter(e, lambda x: pred_z > x)),nb-1) AS bin FROM calib c, ed),
 bw AS (SELECT bin, a AS w FROM (SELECT bin, abs(residual_z) AS a, row_number() OVER (PARTITION BY bin ORDER BY abs(residual_z)) AS rn, count(*) OVER (PARTITION BY bin) AS n FROM bn) WHERE rn={_K}),
 tb AS (SELECT bin, least(w,cap) AS width, e[bin+1] AS edge FROM bw, cp, ed)"""
 

@@ -92,12 +92,11 @@ def flagship(spark, d):
     priced = priced.withColumn("hybrid_pred", portfolio.blend("ml_pred", "act_pred").final)
     rows = metrics.stacked(
         priced.withColumnRenamed("charges", "y_true"), {"actuarial": "act_pred", "hybrid": "hybrid_pred"})
-    money = m.portfolio()
+    money = m.portfolio(only=("total_net_profit", "profit_per_policy", "churn_rate_pct"))
     out = rows.withColumn("band", metrics.tier("y_true", SEGMENTS)).groupingSets(
         [["model"], ["model", "band"]], "model", "band").agg(
         F.count(F.lit(1)).alias("n"),
-        *[money[k].alias(k) for k in ("total_net_profit", "profit_per_policy", "churn_rate_pct")],
-        m.share(F.col("price") > F.col("y_true")).alias("overpricing_rate"), m.rmse("y_true", "price").alias("rmse"))
+        *m.named(money), m.share(F.col("price") > F.col("y_true")).alias("overpricing_rate"), m.rmse("y_true", "price").alias("rmse"))
     return rounded(out.withColumn("band", F.coalesce("band", F.lit("overall"))), {**DIGITS, "overpricing_rate": 6})
 
 
