@@ -72,8 +72,8 @@ def queries():
 #: Lines of five words or more on five sites or more go from all documents but the first that has them.
 _OP5_SQL = """
 WITH l AS (
-  SELECT doc_id, coalesce(source, '') AS site, p.line AS line, p.at AS at, lower(trim(p.line)) AS norm
-  FROM (SELECT doc_id, source, unnest(list_transform(string_split(text, chr(10)), (x, i) -> {'line': x, 'at': i})) AS p
+  SELECT doc_id, coalesce(source, '') AS site, p.line AS line, p.pos AS pos, lower(trim(p.line)) AS norm
+  FROM (SELECT doc_id, source, unnest(list_transform(string_split(text, chr(10)), (x, i) -> {'line': x, 'pos': i})) AS p
         FROM documents WHERE text IS NOT NULL)),
 b AS (
   SELECT norm, min(doc_id) AS first_doc FROM l
@@ -81,7 +81,7 @@ b AS (
   GROUP BY norm HAVING count(DISTINCT site) >= 5),
 k AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-    coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '') AS kept
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
   FROM (SELECT l.*, b.norm IS NOT NULL AND l.doc_id IS DISTINCT FROM b.first_doc
           AND length(line) - length(replace(line, ' ', '')) >= 4 AS gone
         FROM l LEFT JOIN b ON l.norm = b.norm)
