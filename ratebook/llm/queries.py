@@ -72,8 +72,9 @@ def queries():
 #: Lines of five words or more on five sites or more go from all documents but the first that has them.
 _OP5_SQL = """
 WITH l AS (
-  SELECT doc_id, coalesce(source, '') AS site, p.line AS line, p.pos AS pos, lower(trim(p.line)) AS norm
-  FROM (SELECT doc_id, source, unnest(list_transform(string_split(text, chr(10)), (x, i) -> {'line': x, 'pos': i})) AS p
+  SELECT *, lower(trim(line)) AS norm
+  FROM (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+          generate_subscripts(string_split(text, chr(10)), 1) AS pos
         FROM documents WHERE text IS NOT NULL)),
 b AS (
   SELECT norm, min(doc_id) AS first_doc FROM l
