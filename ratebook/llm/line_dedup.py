@@ -8,10 +8,17 @@ but the one with the smallest ``doc_id`` that has them, so that what they say st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ratebook.llm.common import stored
 
+#: Boilerplate lines (16 bytes each) that are sent to every task; more of them are joined with the texts instead.
+MOST_SENT = 1_000_000
+
 
 def normal_form(line: Column) -> Column:
     return F.lower(F.trim(line))
@@ -45,24 +52,64 @@ def boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 5, lg_k: i
             .where(F.col("n_sites") >= min_sites).select("hash", "n_sites", "first_doc"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 5, lg_k: int = 10,
-                       counts: bool = True) -> DataFrame:
+def _by_join(docs: DataFrame, flagged: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` with ``_kept``: the lines left of a document that loses some, else null."""
+    hits = lines(docs, min_words).join(flagged, "hash").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    per_doc = stored(hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("hash").alias("_flagged")), "flagged-lines")
+    kept = F.filter(F.split("text", "\n", -1), lambda line: ~F.array_contains("_flagged", F.xxhash64(normal_form(line))))
+    changed = F.col("_flagged").isNotNull() & F.col("text").isNotNull()
+    joined = docs.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
+    return joined.withColumn("_kept", F.when(changed, kept)).drop("_doc", "_flagged")
+
+
+def _by_lookup(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The same with the flagged lines in every task, so that no text is shuffled."""
+    rows = sorted((r["hash"], r["first_doc"]) for r in flagged.select("hash", "first_doc").collect())
+    known = np.array([h for h, _ in rows], np.int64)
+    first = np.array([-1 if d is None else d for _, d in rows], np.int64)
+    nobody = np.array([d is None for _, d in rows], bool)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(len(columns))
+            flat = hashes.flatten().to_numpy()
+            sizes = hashes.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(batch)), sizes)
+            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            gone = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            doc = batch.column(len(columns) + 1)
+            ids, missing = doc.fill_null(0).to_numpy()[owner], doc.is_null().to_numpy(zero_copy_only=False)[owner]
+            if len(known):
+                gone &= nobody[at] | missing | (first[at] != ids)
+            ends = np.cumsum(sizes)
+            kept: list[list[str] | None] = [None] * len(batch)
+            texts = batch.column(columns.index("text"))
+            for i in np.unique(owner[gone]).tolist():
+                mask = gone[ends[i] - sizes[i]:ends[i]]
+                kept[i] = [line for line, out in zip(texts[i].as_py().split("\n"), mask) if not out]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], pa.array(kept, pa.list_(pa.string()))], [*columns, "_kept"])
+
+    line_hashes = F.transform(F.split("text", "\n", -1), lambda line: F.xxhash64(normal_form(line)))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.ArrayType(T.StringType()))])
+    return docs.select(*columns, line_hashes.alias("_hashes"), F.col("doc_id").cast("long").alias("_doc")).mapInArrow(run, schema)
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 5, lg_k: int = 10, counts: bool = True,
+                       most_sent: int = MOST_SENT) -> DataFrame:
     """The documents' own columns and, with ``counts``, n_lines and n_removed: boilerplate lines are taken out of ``text``.
 
     Only documents with a flagged line change; other texts stay as they are, to the last character. Null texts
     stay null and have no lines, repeated rows are treated alike, a line repeated within its first document
-    stays there, an empty table stays empty. Clashing columns of the added names are replaced.
+    stays there, an empty table stays empty. Clashing columns of the added names are replaced. Up to
+    ``most_sent`` flagged lines are looked up in every task, more are joined; both give the same rows.
     """
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     docs = docs.withColumn("text", F.col("text").cast("string"))
     flagged = stored(boilerplate(docs, min_sites, min_words, lg_k), "boilerplate")
-    hits = lines(docs, min_words).join(flagged, "hash").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    per_doc = stored(hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("hash").alias("_flagged")), "flagged-lines")
-    split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda line: ~F.array_contains("_flagged", F.xxhash64(normal_form(line))))
-    changed = F.col("_flagged").isNotNull() & F.col("text").isNotNull()
-    joined = docs.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").withColumn("_kept", F.when(changed, kept))
-    more = [F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
-            F.when(changed, F.size(split) - F.size("_kept")).otherwise(0).alias("n_removed")] if counts else []
+    found = _by_lookup(docs, flagged) if flagged.count() <= most_sent else _by_join(docs, flagged, min_words)
+    changed, size = F.col("_kept").isNotNull(), F.size(F.split("text", "\n", -1))
+    more = [F.when(F.col("text").isNull(), 0).otherwise(size).alias("n_lines"),
+            F.when(changed, size - F.size("_kept")).otherwise(0).alias("n_removed")] if counts else []
     text = F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text")
-    return joined.select(*(text if c == "text" else F.col(c) for c in columns), *more)
+    return found.select(*(text if c == "text" else F.col(c) for c in columns), *more)

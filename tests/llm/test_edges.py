@@ -70,6 +70,13 @@ def test_lines_stay_in_their_first_document(odd):
     assert all(got[i]["text"] == "" and got[i]["n_removed"] == 1 for i in range(20, 26)) and got[0]["text"] is None
 
 
+def test_joined_lines_are_those_looked_up(spark, odd, data):
+    for docs in (odd, spark.read.parquet(f"{data}/documents.parquet")):
+        ways = [line_dedup.remove_boilerplate(docs, min_sites=3, most_sent=n) for n in (0, 10 ** 6)]
+        assert ways[0].exceptAll(ways[1]).count() == 0 and ways[1].exceptAll(ways[0]).count() == 0
+        assert ways[0].where("n_removed > 0").count() > 0
+
+
 def test_secrets_need_their_complement(spark):
     rows = [(1, "user: alice1 pwd: hunter2x"), (2, "pwd: hunter2x"), (3, "user: alice1" + " " * 400 + "pwd: hunter2x"),
             (4, "user: alice1\n\npwd: hunter2x"), (5, "db at postgres://h/x, pass = abcd1"), (6, "token = 0123456789abcdef0")]
