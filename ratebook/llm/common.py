@@ -16,6 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame, rows: int = 500, size: int = 8 << 20) -> None:
+    """Whole texts go to Python in Arrow batches of at most ``rows`` and about ``size`` bytes, so that a worker holds few
+    of them at a time. A session that sets its own limit of rows below the default keeps it."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) in (0, 10000):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame, written once to the shared folder and read back: lineage ends there and survives lost executors."""
     path = work_path(df.sparkSession, name)

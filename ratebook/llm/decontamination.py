@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ratebook.llm.common import bounded_batches
+
 #: A byte that isn't 0-9, a-z or part of a non-ASCII character separates words; A-Z are lower-cased.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -187,6 +189,7 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = 10, shard_words: int
     per document. Null texts have no words; null items are searched like others but aren't listed; repeated
     rows and ties are found each; an empty benchmark hits nothing. Clashing columns are replaced.
     """
+    bounded_batches(docs)
     docs = docs.drop("n_words", "spans", "items").withColumn("text", F.col("text").cast("string"))
     blocks = _phrase_blocks(benchmark, n, block_words)
     fields = "n_words long, spans array<array<long>>, items array<string>"
@@ -261,6 +264,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame
     What a removal brings together may be a window again, so a changed document is searched anew; each round
     shortens it. Other rows and columns stay as they are.
     """
+    bounded_batches(docs)
     blocks = _phrase_blocks(benchmark, n, 1 << 20)
     columns = docs.columns
     at = columns.index("text")

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ratebook.llm.common import stored
+from ratebook.llm.common import bounded_batches, stored
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|iframe|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -124,6 +124,7 @@ def extract(pages: DataFrame, min_pages: int = 20, share: float = 0.6) -> DataFr
     so a host has at most (subtrees a page) / share of them, and they are joined as one array a host. Null html
     is an empty text; a null url is a host of its own; repeated rows stay; extra columns aren't read.
     """
+    bounded_batches(pages)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host)
 

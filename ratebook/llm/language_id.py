@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ratebook.llm.common import stored
+from ratebook.llm.common import bounded_batches, stored
 
 WIDTH = 4096
 BANDS = 24
@@ -105,6 +105,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 3, round
     The rejection floor of a length band is ``slack`` times the smallest best cosine of all sampled texts of
     that band or a shorter one. Only sums, centroids and floors reach the driver.
     """
+    bounded_batches(labelled)
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +166,7 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     ``und`` with score 0, rejected: null text, no letter, or nothing learned. Clashing columns of these names
     are replaced.
     """
+    bounded_batches(docs)
     added = [prefix + c for c in ("lang_pred", "score", "rejected")]
     columns = [c for c in docs.columns if c not in added]
     rows = docs.select(*columns)

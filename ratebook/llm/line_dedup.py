@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ratebook.llm.common import stored
+from ratebook.llm.common import bounded_batches, stored
 
 #: Boilerplate lines (16 bytes each) that are sent to every task; more of them are joined with the texts instead.
 MOST_SENT = 1_000_000
@@ -104,6 +104,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 5,
     stays there, an empty table stays empty. Clashing columns of the added names are replaced. Up to
     ``most_sent`` flagged lines are looked up in every task, more are joined; both give the same rows.
     """
+    bounded_batches(docs)
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     docs = docs.withColumn("text", F.col("text").cast("string"))
     flagged = stored(boilerplate(docs, min_sites, min_words, lg_k), "boilerplate")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ratebook.llm.common import stored
+from ratebook.llm.common import bounded_batches, stored
 from ratebook.llm.tokens import encoder
 
 #: Branches looked at per filling before its incumbent is taken. Search effort only: every piece is packed.
@@ -122,6 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
                           (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))
             yield pa.RecordBatch.from_pydict({name: pa.array(values, kind) for name, values, kind in columns})
 
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

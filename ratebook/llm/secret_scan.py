@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ratebook.llm.common import stored
+from ratebook.llm.common import bounded_batches, stored
 
 _ASSIGN = re.compile(
     r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -87,6 +87,7 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds))],
                                              ["doc_id", "row", *names])
 
+    bounded_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("row"))
     rows = stored(rows.mapInArrow(found, "doc_id long, row long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, "
                                   "parts array<struct<role: string, scope: long, start: long, end: long>>"), "secret-parts")

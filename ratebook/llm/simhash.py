@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ratebook.llm.common import checkpointed, connected_components, roots, stored
+from ratebook.llm.common import bounded_batches, checkpointed, connected_components, roots, stored
 
 PIVOTS = 16
 #: Fingerprints of a key that are compared in one task; larger keys are split into pairs of chunks.
@@ -105,6 +105,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
             prints = [fingerprint(t.as_py(), scheme.shingle, scheme.words).astype(">u8").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["doc_id", "fp"])
 
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp binary")
 
 
@@ -112,6 +113,22 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
 _SMALL = 128
 
 
+def _matrix(fps: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype(np.uint64).reshape(len(fps), -1)
+
+
+def nodes(prints: np.ndarray) -> np.ndarray:
+    """A long for each fingerprint: itself if it's one word, else its hash, as ``node_column`` has it."""
+    if prints.shape[1] == 1:
+        return prints[:, 0].view(np.int64)
+    hashes = [xxhash.xxh64_intdigest(row.tobytes(), 42) for row in prints.astype(">u8")]
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
+def node_column(scheme: Scheme):
+    return F.conv(F.hex("fp"), 16, -10).cast("long") if scheme.words == 1 else F.xxhash64("fp")
+
+
 def linked(prints: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links among distinct fingerprints, as index pairs.
 
@@ -124,13 +141,12 @@ def linked(prints: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray
         i, j = np.triu_indices(len(prints), 1)
         for c in range(table.shape[1]):
             near = np.abs(table[i, c] - table[j, c]) <= most
-            if not near.all():
-                i, j = i[near], j[near]
-            elif c == 3:  # at a wide radius the coordinates discard nothing
+            if near.all():  # at a wide radius the coordinates discard little: leave it to the bits
                 break
+            i, j = i[near], j[near]
         near = distances(prints[i], prints[j]) <= most
-        nodes, low = roots(i[near], j[near])
-        return low[nodes != low], nodes[nodes != low]
+        of, low = roots(i[near], j[near])
+        return low[of != low], of[of != low]
     order = np.argsort(table[:, 0], kind="stable")
     prints, table = prints[order], table[order]
     first = table[:, 0]
@@ -158,56 +174,51 @@ def linked(prints: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray
 
 
 def near_links(distinct: DataFrame, scheme: Scheme, chunk: int = CHUNK) -> DataFrame:
-    """Links (u, v) between nodes of (node, fp), enough to connect what the links found connect; fp are distinct.
+    """Links (u, v) between nodes of distinct ``fp``, enough to connect what the links found connect.
 
-    Each fingerprint goes to every key with its pivot table. A key with more than ``chunk`` fingerprints is
-    dealt over chunks by a hash, and every pair of chunks is one group, so no group grows with the table and no
-    pair is left out.
+    Each fingerprint goes to every key. A key with more than ``chunk`` fingerprints is dealt over chunks by a
+    hash, and every pair of chunks is one group, so no group grows with the table and no pair is left out. The
+    table of such keys has less than (number of keys / chunk) rows a fingerprint.
     """
 
-    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(len(batch), -1)
-                table = pivot_table(prints)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array([r.tobytes() for r in table], pa.binary()), pa.array(list(scheme.keys(prints)), pa.list_(pa.int64()))],
-                    ["node", "fp", "pivots", "keys"])
-
-    tables = stored(distinct.select("node", "fp").mapInArrow(tabled, "node long, fp binary, pivots binary, keys array<long>"), "pivots")
-    sizes = tables.select(F.posexplode("keys").alias("band", "key")).groupBy("band", "key").agg(F.count("*").alias("n")).where(
-        "n > 1").select("band", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    rows = tables.select("node", "fp", "pivots", F.posexplode("keys").alias("band", "key"))
+                keys = scheme.keys(_matrix(batch.column(0)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["fp", "keys"])
+
+    keys = stored(distinct.select("fp").mapInArrow(keyed, "fp binary, keys array<long>"), "keys").select(
+        "fp", F.posexplode("keys").alias("band", "key"))
+    hot = stored(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(
+        "band", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "hot-keys")
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1),
                         lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    dealt = (rows.join(sizes, ["band", "key"]).withColumn("mine", mine).withColumn("pair", F.explode(pairs))
-             .select(F.xxhash64("band", "key", "pair.i", "pair.j").alias("cell"), "node", "fp", "pivots"))
+    dealt = (keys.join(hot, ["band", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", mine)
+             .withColumn("pair", F.explode(pairs)).select(F.xxhash64("band", "key", "pair.i", "pair.j").alias("cell"), "fp"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell; a cell may run over several batches."""
 
-        def found(cell, node, prints, tables):
+        def found(cell, prints):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
-            us, vs = [], []
-            a = cuts[:-1][np.diff(cuts) == 2]  # most cells are pairs: those at once
-            a = a[np.abs(tables[a] - tables[a + 1]).max(axis=1, initial=0) <= scheme.most]
+            a = cuts[:-1][np.diff(cuts) == 2]  # pairs: those at once
+            a = a[np.abs(pivot_table(prints[a]) - pivot_table(prints[a + 1])).max(axis=1, initial=0) <= scheme.most]
             a = a[distances(prints[a], prints[a + 1]) <= scheme.most]
-            us.append(node[a])
-            vs.append(node[a + 1])
+            us, vs = [a], [a + 1]
             for a, b in zip(cuts, cuts[1:]):
                 if b - a > 2:
-                    u, v = linked(prints[a:b], tables[a:b], scheme.most)
-                    us.append(node[a:b][u])
-                    vs.append(node[a:b][v])
-            return pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(us), pa.int64()), "v": pa.array(np.concatenate(vs), pa.int64())})
+                    u, v = linked(prints[a:b], pivot_table(prints[a:b]), scheme.most)
+                    us.append(a + u)
+                    vs.append(a + v)
+            return pa.RecordBatch.from_pydict({name: pa.array(nodes(prints[np.concatenate(at)]), pa.int64())
+                                               for name, at in (("u", us), ("v", vs))})
 
         held = None
         for batch in batches:
             if not len(batch):
                 continue
-            matrix = lambda i, kind: np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(len(batch), -1)  # noqa: B023, E731
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(2, np.uint64), matrix(3, np.int16))
+            now = (batch.column(0).to_numpy(), _matrix(batch.column(1)))
             held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
             last = int(np.searchsorted(held[0], held[0][-1]))  # the last cell may go on
             if last:
@@ -228,9 +239,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """
     prints = stored(fingerprints(docs, scheme), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    # A fingerprint of one word is its own node; longer ones go by their hash.
-    node = F.conv(F.hex("fp"), 16, -10).cast("long") if scheme.words == 1 else F.xxhash64("fp")
-    distinct = checkpointed(distinct.withColumn("node", node))
+    distinct = checkpointed(distinct.withColumn("node", node_column(scheme)))
     parts = connected_components(near_links(distinct, scheme))
     rooted = distinct.join(parts, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

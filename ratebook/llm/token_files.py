@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ratebook.llm.common import bounded_batches
 from ratebook.llm.tokens import encoder
 from ratebook.session import work_path
 
@@ -141,6 +142,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, block_ids:
         if doc_ids:
             yield block()
 
+    bounded_batches(docs)
     (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
      .mapInArrow(blocks, "part int, seq long, n_ids long, record binary")
      .write.option("compression", "zstd").parquet(path))

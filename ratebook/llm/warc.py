@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ratebook.llm.common import stored
+from ratebook.llm.common import bounded_batches, stored
 from ratebook.session import work_path
 
 _END = "\r\n\r\n"
@@ -68,6 +68,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, path: str | None = None
     payloads are responses all. Null html is an empty payload; rows with the same page_id and payload are each a
     response if theirs is the largest; a null page_id is the response only if all of its payload are null.
     """
+    bounded_batches(pages)
     path = path or work_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("key", F.sha1("html"))
