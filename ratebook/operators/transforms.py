@@ -4,6 +4,7 @@ set of parameters; each ``transform`` is a lazy projection over literals."""
 from __future__ import annotations
 
 import math
+from itertools import combinations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -195,9 +196,10 @@ class Products:
 def moments_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(correlation, mean, population deviation, n) of many columns.
 
-    Spark ML adds up the k x k products in the tasks; only the matrix comes back.
+    Spark ML adds up the k x k products in the tasks; only the matrix comes back. Columns have to be
+    imputed: a null or NaN is an error, as dropping its row would change the other columns' pairs.
     """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="skip").transform(df).select("v")
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="error").transform(df).select("v")
     corr = Correlation.corr(vectors, "v").first()[0].toArray()
     s = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first()["s"]
     n = int(s["count"])
@@ -205,11 +207,19 @@ def moments_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, n
     return corr, np.asarray(s["mean"].toArray()), np.sqrt(variance), n
 
 
+#: Correlations added up in one pass over the table; each keeps six numbers a task.
+PAIRS_PER_PASS = 200
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairwise correlations as rows (a, b, correlation)."""
-    matrix, _, _, _ = moments_matrix(df, columns)
-    rows = [(a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-            for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    """All pairwise correlations as rows (a, b, correlation), each over the rows where both are known."""
+    known = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
+    pairs = list(combinations(columns, 2))
+    rows = []
+    for at in range(0, len(pairs), PAIRS_PER_PASS):
+        part = pairs[at:at + PAIRS_PER_PASS]
+        got = known.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part))).first()
+        rows += [(a, b, None if r is None or math.isnan(r) else float(r)) for (a, b), r in zip(part, got)]
     return df.sparkSession.createDataFrame(rows, "a string, b string, correlation double")
 
 

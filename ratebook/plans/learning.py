@@ -55,7 +55,7 @@ def boosted_trees(spark, d):
     """Boosted trees with sample weights and early stopping on the validation rows."""
     df = parted(spark, d)
     fit = df.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
-    fit = fit.withColumn("weight", splits.sample_weight(fit, "label"))
+    fit = fit.withColumn("weight", splits.sample_weight(fit.where("NOT is_val"), "label"))
     return scores(df, {"boosted": learners.train(fit, "boosted", weight="weight", validation="is_val")})
 
 

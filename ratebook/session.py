@@ -3,25 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Root folder for working tables and stream checkpoints.
+    """Root folder for working tables and stream checkpoints, on the file system of the cluster.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only when that is unset
-    (tests on one machine) is a fresh local folder chosen, once per session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of the warehouse is
+    taken, which executors and driver share as well; never a folder of one machine's own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ratebook-"))
-    return context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:

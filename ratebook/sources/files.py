@@ -7,19 +7,26 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType, StructField, StructType
+
 from ratebook.config import POLICY_COLUMNS
 from ratebook.operators.validation import require_columns
 from ratebook.sources.portfolio import POLICY_SCHEMA
 
 
 def read_policies(spark: SparkSession, path: str, fmt: str = "csv", schema=POLICY_SCHEMA) -> DataFrame:
-    """A policy table with an explicit schema (no inference pass). A missing path or an
-    empty table is an error."""
+    """A policy table with an explicit schema (no inference pass). A missing path, an empty table or a
+    missing column is an error. CSV columns go by the names in the header, in any order; others are left out."""
     if fmt == "csv":
-        df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+        header = spark.read.option("header", True).csv(path)
+        require_columns(header, POLICY_COLUMNS)
+        kinds = {f.name: f.dataType for f in schema.fields}
+        found = StructType([StructField(c, kinds.get(c, StringType())) for c in header.columns])
+        df = (spark.read.schema(found).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+              .select(*(c for c in kinds if c in header.columns)))
     else:
         df = spark.read.format(fmt).load(path)
-    require_columns(df, POLICY_COLUMNS)
+        require_columns(df, POLICY_COLUMNS)
     if df.isEmpty():
         raise ValueError(f"no rows in {path}")
     return df

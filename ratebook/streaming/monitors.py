@@ -17,8 +17,12 @@ from ratebook.session import work_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream over the files of one table; the schema comes from the stored files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    """A stream over the files of one table, a folder of part files or a single file; the schema comes from them."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
