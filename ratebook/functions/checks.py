@@ -30,22 +30,23 @@ def _unless(ok: Column, code: str) -> Column:
     return F.when(~F.coalesce(ok, F.lit(False)), F.lit(code))
 
 
-def _number_check(name: str, low, high) -> list[Column]:
+def _number_check(name: str, low, high, whole: bool = False) -> list[Column]:
     x = as_number(name)
-    return [
+    checks = [
         F.when(col(name).isNull(), F.lit(f"{name}_missing")).when(x.isNull(), F.lit(f"{name}_not_numeric")),
         F.when((x < low) | (x > high) | F.isnan(x), F.lit(f"{name}_out_of_range")),
     ]
+    return checks + ([F.when(x != F.rint(x), F.lit(f"{name}_not_integer"))] if whole else [])
 
 
 def record_errors(bounds: Bounds | None = None) -> Column:
     """Array of the codes of everything wrong with a record, in column order."""
     b = bounds or Bounds()
     checks = [
-        *_number_check("age", b.age_min, b.age_max),
+        *_number_check("age", b.age_min, b.age_max, whole=True),
         _unless(normal("sex").isin(*SEXES), "sex_unknown"),
         *_number_check("bmi", b.bmi_min, b.bmi_max),
-        *_number_check("children", b.children_min, b.children_max),
+        *_number_check("children", b.children_min, b.children_max, whole=True),
         _unless(normal("smoker").isin(*SMOKER_VALUES), "smoker_unknown"),
         _unless(normal("region").isin(*REGIONS), "region_unknown"),
     ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Model
@@ -20,7 +21,7 @@ from ratebook.functions.columns import col, flag, hash_key
 from ratebook.functions.pricing import is_smoker
 from ratebook.operators import splits
 from ratebook.operators.pricing import SPECIALIST_TIERS
-from ratebook.operators.quantiles import order_statistics, quantiles
+from ratebook.operators.quantiles import kept, order_statistics
 
 INPUTS = ("age", "bmi", "children", "smoking", "smoker_bmi", "smoker_age", "bmi_squared", "age_squared",
           "age_bmi_stress", "chronic_condition_proxy")
@@ -30,8 +31,8 @@ BUILDERS: dict[str, Callable[..., Estimator]] = {
     "linear": lambda **p: LinearRegression(**p),
     "ridge": lambda **p: LinearRegression(**{"elasticNetParam": 0.0, "regParam": 1.0, **p}),
     "lasso": lambda **p: LinearRegression(**{"elasticNetParam": 1.0, "regParam": 1.0, **p}),
-    "random_forest": lambda **p: RandomForestRegressor(**{"numTrees": 20, "maxDepth": 8, "seed": 42, **p}),
-    "boosted": lambda **p: GBTRegressor(**{"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, **p}),
+    "random_forest": lambda **p: RandomForestRegressor(**{"numTrees": 200, "maxDepth": 8, "seed": 42, **p}),
+    "boosted": lambda **p: GBTRegressor(**{"maxIter": 200, "maxDepth": 4, "stepSize": 0.1, "seed": 42, **p}),
 }
 
 
@@ -102,14 +103,11 @@ def cv_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.agg(F.avg("rmse").alias("mean_rmse"), F.stddev_pop("rmse").alias("std_rmse"), F.sum("n").alias("n"))
 
 
-MAX_KNOTS = 10_000
-
-
 class IsotonicCalibrator:
     """Monotone map from prediction to charge, clipped outside the fitted range.
 
-    Rows are first reduced to weighted points: one per distinct prediction while those are
-    few, otherwise one per quantile bin, so the fit never sees more than MAX_KNOTS points.
+    Rows are first reduced to one weighted point per distinct prediction, which loses nothing. Adjacent
+    violators are pooled within ranges of the prediction; only the blocks left of that meet on the driver.
     """
 
     def __init__(self, model, prediction: str):
@@ -117,28 +115,24 @@ class IsotonicCalibrator:
 
     @classmethod
     def fit(cls, df: DataFrame, prediction: str, target: str = "y_true", at_least: int = 50) -> "IsotonicCalibrator":
-        rows = df.select(col(prediction).alias("x"), col(target).alias("y"))
-        size = rows.agg(F.count("x").alias("n"), F.approx_count_distinct("x").alias("d")).first()
-        if size["n"] < at_least:
-            raise ValueError(f"a calibrator needs {at_least} rows, got {size['n']}")
-        if size["d"] <= MAX_KNOTS:
-            points = rows.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-        else:
-            edges = rows.agg(F.percentile_approx("x", [i / 1000 for i in range(1, 1000)], 100_000)).first()[0]
-            cuts = F.array(*[F.lit(e) for e in sorted(set(edges))])
-            place = F.size(F.filter(cuts, lambda e: e < F.col("x")))
-            points = rows.groupBy(place.alias("bin")).agg(
-                F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-        vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)
-        return cls(IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w").fit(vec), prediction)
+        rows = df.select(col(prediction).cast("double").alias("x"), col(target).cast("double").alias("y")).where(
+            "x IS NOT NULL AND y IS NOT NULL")
+        points = rows.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        with kept(points):
+            n = int(points.agg(F.sum("w")).first()[0] or 0)
+            if n < at_least:
+                raise ValueError(f"a calibrator needs {at_least} rows, got {n}")
+            vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)
+            return cls(IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w").fit(vec), prediction)
 
     def transform(self, df: DataFrame, output: str) -> DataFrame:
         vec = VectorAssembler(inputCols=[self.prediction], outputCol="_iso").transform(df)
         return self.model.copy({self.model.featuresCol: "_iso", self.model.predictionCol: output}).transform(vec).drop("_iso")
 
 
-def specialists(df: DataFrame, base: str, tiers=SPECIALIST_TIERS, at_least: int = 50) -> dict[str, Model]:
-    """One boosted model per tier of the base premium; small tiers grow shallower trees."""
+def specialists(df: DataFrame, base: str, tiers=SPECIALIST_TIERS, at_least: int = 50, rounds: int | None = None) -> dict[str, Model]:
+    """One boosted model per tier of the base premium. Small tiers grow shallower trees and fewer of them, and a
+    leaf holds a fortieth of the tier at least. ``rounds`` fixes the number of trees for all tiers."""
     counts = df.agg(*[
         F.count_if((F.col(base) >= lo) & (F.col(base) < F.lit(hi))).alias(name) for name, lo, hi in tiers]).first()
     out = {}
@@ -147,8 +141,9 @@ def specialists(df: DataFrame, base: str, tiers=SPECIALIST_TIERS, at_least: int
         if n < at_least:
             continue
         rows = df.where((F.col(base) >= lo) & (F.col(base) < F.lit(hi)))
-        depth, rounds = (2, 10) if n < 200 else (3, 15) if n < 1000 else (4, 20)
-        out[name] = train(rows, "boosted", maxDepth=depth, maxIter=rounds, minInstancesPerNode=5)
+        out[name] = train(
+            rows, "boosted", maxDepth=min(4, max(2, int(math.log2(n / 20 + 1)))), maxIter=rounds or min(500, max(200, n // 50 * 50)),
+            minInstancesPerNode=max(5, n // 40), stepSize=0.02, subsamplingRate=0.8)
     return out
 
 
@@ -174,29 +169,42 @@ def importance(model: Model, df: DataFrame, inputs: Sequence[str] = INPUTS, top:
         F.desc("importance"), "feature").limit(top)
 
 
-ROWS_PER_BUCKET = 4096
-
-
-def shuffled(df: DataFrame, column: str, buckets: int, seed: int) -> DataFrame:
-    """Permute one column: rows fall into hash buckets of bounded size and, in a random order
-    within their bucket, take the value of the next row (the last row that of the first)."""
-    h = F.xxhash64(F.lit(seed), F.col(KEY))
-    ordered = Window.partitionBy("_b").orderBy("_h", KEY)
-    following = F.coalesce(F.lead(column).over(ordered), F.first(column).over(ordered))
-    rows = df.withColumns({"_b": F.pmod(F.xxhash64(F.lit(seed + 1), F.col(KEY)), F.lit(buckets)), "_h": h})
-    return rows.withColumn(column, following).drop("_b", "_h")
-
+def with_next(df: DataFrame, columns: Sequence[str], seed: int, buckets: int | None = None) -> DataFrame:
+    """Adds ``_next``: the columns' values of the next row in a random order of all rows (of the last row, those
+    of the first), so every value is dealt exactly once.
 
-def permutation_importance(model: Model, df: DataFrame, inputs: Sequence[str] = INPUTS, repeats: int = 2, seed: int = 42) -> DataFrame:
-    """Growth of RMSE when one input is permuted: mean and deviation over repeats."""
-    plain = predict(model, df).agg(m.rmse("label", "prediction").alias("r"), F.count("label").alias("n")).first()
-    buckets = max(1, plain["n"] // ROWS_PER_BUCKET)
+    The order is that of a hash of the key. It is cut into ``buckets`` ranges of the hash, as many as the session
+    has shuffle partitions; the last row of a range takes the first row of the next one that has rows, so the
+    result doesn't depend on their number. One row per range meets in a single task.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = F.struct(*columns)
+    rows = df.withColumn("_h", hash_key(KEY, seed)).withColumn(
+        "_b", F.floor(F.col("_h").cast("double") / 2.0**60 * buckets).cast("int"))
+    firsts = rows.groupBy("_b").agg(F.min_by(values, F.struct("_h", KEY)).alias("_first"))
+    over = Window.partitionBy(F.lit(0)).orderBy("_b")
+    firsts = firsts.select("_b", F.coalesce(F.lead("_first").over(over), F.first("_first").over(
+        over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_after"))
+    inside = Window.partitionBy("_b").orderBy("_h", KEY)
+    return rows.withColumn("_lead", F.lead(values).over(inside)).join(firsts, "_b").withColumn(
+        "_next", F.coalesce("_lead", "_after")).drop("_b", "_h", "_lead", "_after")
+
+
+def permutation_importance(model: Model, df: DataFrame, inputs: Sequence[str] = INPUTS, repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Growth of RMSE when one input is permuted: mean and deviation over repeats.
+
+    A repeat shuffles the table once; its rows are then expanded by the inputs within their task, each copy with
+    one input permuted.
+    """
+    plain = predict(model, df).agg(m.rmse("label", "prediction")).first()[0]
     parts = None
-    for c in inputs:
-        for r in range(repeats):
-            mixed = predict(model, shuffled(df, c, buckets, seed + 2 * r)).agg(m.rmse("label", "prediction").alias("rmse"))
-            one = mixed.select(F.lit(c).alias("feature"), (F.col("rmse") - F.lit(plain["r"])).alias("gain"))
-            parts = one if parts is None else parts.unionByName(one)
+    for r in range(repeats):
+        copies = F.array(*[F.struct(F.lit(c).alias("feature"), *[(F.col(f"_next.{k}") if k == c else F.col(k)).alias(k) for k in inputs])
+                           for c in inputs])
+        mixed = with_next(df.select(KEY, "label", *inputs), inputs, seed + r).select("label", F.explode(copies).alias("c"))
+        one = predict(model, mixed.select("label", "c.*")).groupBy("feature").agg(
+            (m.rmse("label", "prediction") - F.lit(plain)).alias("gain"))
+        parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("feature").agg(F.avg("gain").alias("mean"), F.stddev_pop("gain").alias("std"))
 
 
@@ -216,7 +224,7 @@ def partial_dependence(model: Model, df: DataFrame, inputs: Sequence[str], point
     return parts.select("feature", "grid_value", "mean_prediction", "n")
 
 
-def learning_curve(df: DataFrame, name: str, fractions: Sequence[float] = (0.25, 0.5, 1.0), folds: int = 3, fold: str = "fold",
+def learning_curve(df: DataFrame, name: str, fractions: Sequence[float] = tuple(i / 10 for i in range(1, 11)), folds: int = 5, fold: str = "fold",
                    seed: int = 7, **params) -> DataFrame:
     """Train and validation RMSE as the training part grows. A fraction is the rows below an
     exact hash threshold, so larger parts contain the smaller ones. The seed must differ from

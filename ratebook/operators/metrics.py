@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,30 +262,36 @@ def residual_diagnostics(df: DataFrame, y="y_true", p="price") -> DataFrame:
     return out.withColumn("recommendations", notes)
 
 
-def durbin_watson(df: DataFrame, order: str, residual, slices: int = 200) -> DataFrame:
-    """Serial correlation of residuals in the order of a column.
+def durbin_watson(df: DataFrame, order: str | Sequence[str], residual, partitions: int | None = None) -> DataFrame:
+    """Serial correlation of residuals in the order of one or more columns, which together are unique.
 
-    The order column is cut into slices of about equal size (approximate quantiles
-    only balance the work; any cut gives the same result). Steps inside a slice come
-    from a window per slice, the one step between neighbouring slices from the slices'
-    last and first rows.
+    Rows are sorted by ranges of the order. A task walks through its range in batches and gives one row; the
+    steps between neighbouring ranges come from those. A column with a hot value needs a second one that tells
+    its rows apart: then that value is split over ranges as well.
     """
-    rows = df.select(F.col(order).cast("double").alias("o"), col(residual).alias("e"))
-    edges = rows.agg(F.percentile_approx("o", [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []
-    edges = sorted(set(edges))
-    cuts = F.array(*[F.lit(e) for e in edges]) if edges else None
-    place = F.size(F.filter(cuts, lambda x: x < F.col("o"))) if edges else F.lit(0)
-    rows = rows.withColumn("slice", place)
-    inside = Window.partitionBy("slice").orderBy("o")
-    step = F.col("e") - F.lag("e").over(inside)
-    per_slice = rows.withColumn("d", step).groupBy("slice").agg(
-        F.sum(F.col("d") * F.col("d")).alias("steps"), F.sum(F.col("e") * F.col("e")).alias("squares"),
-        F.min_by("e", "o").alias("first"), F.max_by("e", "o").alias("last"), F.count(F.lit(1)).alias("n"))
-    across = Window.partitionBy(F.lit(0)).orderBy("slice")  # at most one row per slice
+    by = [order] if isinstance(order, str) else list(order)
+    rows = df.select(*by, col(residual).cast("double").alias("_e"))
+    rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+
+    def walk(batches):
+        n, steps, squares, first, last = 0, 0.0, 0.0, None, None
+        for pdf in batches:
+            e = pdf["_e"].to_numpy(dtype=float)
+            if len(e):
+                d = np.diff(e if n == 0 else np.concatenate([[last], e]))
+                n, steps, squares = n + len(e), steps + float(np.nansum(d * d)), squares + float(np.nansum(e * e))
+                first, last = e[0] if first is None else first, e[-1]
+        if n:
+            yield pd.DataFrame({"slice": [TaskContext.get().partitionId()], "n": [n], "steps": [steps], "squares": [squares],
+                                "first": [first], "last": [last]})
+
+    per_slice = rows.sortWithinPartitions(*by).select("_e").mapInPandas(
+        walk, "slice int, n long, steps double, squares double, first double, last double")
+    across = Window.partitionBy(F.lit(0)).orderBy("slice")  # one row per task
     jump = F.col("first") - F.lag("last").over(across)
     out = per_slice.withColumn("jump", jump).agg(
         (F.coalesce(F.sum("steps"), F.lit(0.0)) + F.coalesce(F.sum(F.col("jump") * F.col("jump")), F.lit(0.0))).alias("steps"),
-        F.sum("squares").alias("squares"), F.sum("n").alias("n"))
+        F.sum("squares").alias("squares"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     stat = F.when(F.col("squares") > 1e-10, F.try_divide(F.col("steps"), F.col("squares")))
     return out.select("n", stat.alias("durbin_watson")).withColumn(
         "autocorrelated", F.abs(F.col("durbin_watson") - 2.0) > 0.5)

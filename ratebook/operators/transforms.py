@@ -42,17 +42,32 @@ def aggregate(df: DataFrame, columns: dict) -> dict:
     return out
 
 
-def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Counts of the values of category columns (small domains)."""
+#: Most classes an encoder takes on; a column with more isn't a category.
+MOST_CLASSES = 10_000
+
+
+def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])
-    rows = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.count(F.lit(1)).alias("n")).collect()
+    return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Counts of the values of category columns; more than MOST_CLASSES values of all columns are an error."""
+    rows = _counted(df, columns).limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} categories in {', '.join(columns)}")
     out: dict[str, dict] = {c: {} for c in columns}
     for r in rows:
         out[r["feature"]][r["value"]] = r["n"]
     return out
 
 
+def modes(df: DataFrame, columns: Sequence[str]) -> dict:
+    """The commonest value of each column, the smallest one on a tie; columns of any number of values."""
+    rows = _counted(df, columns).groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
+    return {r["feature"]: r["value"] for r in rows.collect()}
+
+
 def most_frequent(counts: dict):
     """The commonest value; the smallest one on a tie."""
     return min(counts, key=lambda v: (-counts[v], v)) if counts else None
@@ -76,7 +91,7 @@ class Imputer:
         if derived:
             values.update(aggregate(df, {c: F.avg(c) for c in derived}))
         if text:
-            values.update({c: most_frequent(n) for c, n in category_counts(df, text).items()})
+            values.update(modes(df, text))
         return cls({k: v for k, v in values.items() if v is not None})
 
     def transform(self, df: DataFrame) -> DataFrame:

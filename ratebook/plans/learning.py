@@ -1,30 +1,28 @@
 """Queries that fit Spark ML models; their results depend on the learner, not on SQL."""
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ratebook.config import KEY
 from ratebook.functions import moments as m
 from ratebook.functions.columns import rounded
-from ratebook.operators import forest, learners, models, pricing, splits, validation
+from ratebook.operators import forest, learners, pricing, splits
 from ratebook.plans.registry import query
 from ratebook.sources import portfolio
 
 
 def table(spark, d, keep=()):
-    """The learning table, kept between the passes of an iterative fit."""
-    df = learners.learning_table(portfolio.policies(spark, d), keep=keep)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """The learning table, written once for the passes of an iterative fit."""
+    return splits.stored(learners.learning_table(portfolio.policies(spark, d), keep=keep), "learning")
 
 
-def folded(spark, d, k=3):
+def folded(spark, d, k=5):
     p = splits.folds(portfolio.policies(spark, d), "charges", k)
-    return learners.learning_table(p, keep=["fold"]).persist(StorageLevel.MEMORY_AND_DISK)
+    return splits.stored(learners.learning_table(p, keep=["fold"]), "folded")
 
 
 def parted(spark, d):
     p = splits.train_val_test(portfolio.policies(spark, d))
-    return learners.learning_table(p, keep=["split"]).persist(StorageLevel.MEMORY_AND_DISK)
+    return splits.stored(learners.learning_table(p, keep=["split"]), "parted")
 
 
 def scores(df, models_):
@@ -47,7 +45,7 @@ def linear_models(spark, d):
 @query("f2_random_forest")
 def random_forest(spark, d):
     df = parted(spark, d)
-    return scores(df, {"random_forest": learners.train(df.where(F.col("split") == "train"), "random_forest")})
+    return scores(df, {"random_forest": learners.train(df.where(F.col("split") == "train"), "random_forest", numTrees=20)})
 
 
 @query("f3_boosted_trees")
@@ -56,33 +54,27 @@ def boosted_trees(spark, d):
     df = parted(spark, d)
     fit = df.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
     fit = fit.withColumn("weight", splits.sample_weight(fit.where("NOT is_val"), "label"))
-    return scores(df, {"boosted": learners.train(fit, "boosted", weight="weight", validation="is_val")})
+    return scores(df, {"boosted": learners.train(fit, "boosted", weight="weight", validation="is_val", maxIter=20)})
 
 
 @query("f6_grid_search")
 def grid_search(spark, d):
-    return rounded(learners.grid_search(folded(spark, d), "boosted", {"maxDepth": [2, 4], "maxIter": [5, 10]}), 4)
+    return rounded(learners.grid_search(folded(spark, d), "boosted", {"maxDepth": [2, 4], "maxIter": [5, 10]}, folds=5), 4)
 
 
 @query("f8_cross_validation")
 def cross_validation(spark, d):
-    per_fold = learners.cross_validated(folded(spark, d), "boosted", weighted=True, maxIter=10)
+    per_fold = learners.cross_validated(folded(spark, d), "boosted", folds=5, weighted=True, maxIter=10)
     return rounded(learners.cv_summary(per_fold), 4)
 
 
-@query("f11_isotonic_calibrator")
-def isotonic_calibrator(spark, d):
-    df = portfolio.scored(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    fit = learners.IsotonicCalibrator.fit(df, "ml_pred")
-    return rounded(models.adoption(fit.transform(df, "calibrated"), "ml_pred", "calibrated"), 4)
-
-
 @query("f13_tier_specialists")
 def tier_specialists(spark, d):
     """Specialists per tier of the learned premium, routed and compared with it."""
     p = portfolio.with_ml_prediction(portfolio.policies(spark, d))
-    df = learners.learning_table(p, keep=["ml_pred"]).persist(StorageLevel.MEMORY_AND_DISK)
-    made = learners.specialists(df, "ml_pred")
+    df = learners.learning_table(p, keep=["ml_pred"])
+    df = splits.stored(df, "specialists")
+    made = learners.specialists(df, "ml_pred", rounds=20)
     rows = learners.with_specialists(df, made, "ml_pred").withColumn("routed", pricing.tier_routed())
     out = rows.agg(m.rmse("label", "ml_pred").alias("rmse_base"), m.rmse("label", "routed").alias("rmse_routed"), F.count("label").alias("n"))
     return rounded(out.withColumn("n_specialists", F.lit(len(made))), 4)
@@ -104,7 +96,7 @@ def permutation_importance(spark, d):
 def partial_dependence(spark, d):
     df = table(spark, d)
     model = learners.train(df, "boosted", maxIter=10)
-    return rounded(learners.partial_dependence(model, df, ["age", "bmi", "children"]), 4)
+    return rounded(learners.partial_dependence(model, df, learners.INPUTS[:6]), 4)
 
 
 @query("f20_learning_curve")
@@ -115,13 +107,14 @@ def learning_curve(spark, d):
 @query("h6_forest_interval")
 def forest_interval(spark, d):
     df = table(spark, d)
-    model = learners.train(df, "random_forest")
+    model = learners.train(df, "random_forest", numTrees=20)
     out = learners.tree_interval(model, df).select(KEY, "label", "prediction", "lower", "upper")
     return rounded(out, 4)
 
 
 @query("d10_isolation_forest")
 def isolation_forest(spark, d):
-    df = portfolio.policies(spark, d).select(KEY, "age", "bmi", "children", "charges").persist(StorageLevel.MEMORY_AND_DISK)
+    df = portfolio.policies(spark, d).select(KEY, "age", "bmi", "children", "charges")
+    df = splits.stored(df, "forest")
     fit = forest.IsolationForest.fit(df, ["age", "bmi", "children", "charges"])
     return rounded(fit.flag(df), 6)

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from ratebook.config import KEY, Blend
 from ratebook.functions import features, pricing as fx
 from ratebook.functions.columns import rounded
-from ratebook.operators import gates, metrics, models, pricing as op, selection
+from ratebook.operators import gates, learners, metrics, models, pricing as op, selection, splits
 from ratebook.plans.features import AGE_GROUP, BMI_CATEGORY, SCORE_SQL
 from ratebook.plans.metrics import hybrid, r2_sql, rmse_sql
 from ratebook.plans.registry import query
+from ratebook.plans.splits import holdout_sql
 from ratebook.plans.sql import ACT, blend_sql, with_ctes
 from ratebook.sources import portfolio
 
@@ -312,17 +313,49 @@ def linear_calibrator(spark, d):
                    {"slope": 8, "intercept": 4})
 
 
-@query("f12_calibration_adoption", with_ctes(_LIN + f""",
-m AS (SELECT {rmse_sql('y_true','ml_pred')} AS r0, {r2_sql('y_true','ml_pred')} AS q0, avg(abs(ml_pred-y_true)) AS m0, {rmse_sql('y_true','(a*ml_pred+b)')} AS r1,
- 1.0-sum((a*ml_pred+b-y_true)*(a*ml_pred+b-y_true))/(var_pop(y_true)*count(*)) AS q1, avg(abs(a*ml_pred+b-y_true)) AS m1 FROM scored, l)
+# Calibrators are fitted on the table cal and judged on the table hold.
+PARTS = f"""{holdout_sql("scored", "y_true")},
+cal AS (SELECT s.* FROM scored s JOIN hp ON hp.policy_id=s.policy_id WHERE part='calibration'),
+hold AS (SELECT s.* FROM scored s JOIN hp ON hp.policy_id=s.policy_id WHERE part='holdout')"""
+
+
+def adoption_sql(table):
+    """The verdict on ``calibrated`` against ml_pred over a table."""
+    return f"""m AS (SELECT {rmse_sql('y_true','ml_pred')} AS r0, {r2_sql('y_true','ml_pred')} AS q0, avg(abs(ml_pred-y_true)) AS m0,
+ {rmse_sql('y_true','calibrated')} AS r1, {r2_sql('y_true','calibrated')} AS q1, avg(abs(calibrated-y_true)) AS m1 FROM {table})
 SELECT round(r0,4) AS rmse_before, round(r1,4) AS rmse_after, round(q0,6) AS r2_before, round(q1,6) AS r2_after, round(m0,4) AS mae_before, round(m1,4) AS mae_after,
- r1<r0*0.99 AS rmse_gain, q1>=q0 AS r2_kept, m1<=m0*1.02 AS mae_kept, r1<r0*0.99 AND q1>=q0 AND m1<=m0*1.02 AS adopt FROM m"""))
-def calibration_adoption(spark, d):
-    df = portfolio.scored(spark, d)
-    out = models.adoption(models.LinearCalibrator.fit(df, "ml_pred").transform(df, "calibrated"), "ml_pred", "calibrated")
+ r1<r0*0.99 AS rmse_gain, q1>=q0 AS r2_kept, m1<=m0*1.02 AS mae_kept, r1<r0*0.99 AND q1>=q0 AND m1<=m0*1.02 AS adopt FROM m"""
+
+
+def _verdict(rows):
+    out = models.adoption(rows, "ml_pred", "calibrated")
     return rounded(out, {c: 6 if c.startswith("r2") else 4 for c in out.columns})
 
 
+@query("f12_calibration_adoption", with_ctes(f""", {PARTS},
+l AS (SELECT least(greatest(regr_slope(y_true,ml_pred),0.0),2.0) AS a, regr_intercept(y_true,ml_pred) AS b FROM cal),
+c AS (SELECT y_true, ml_pred, a*ml_pred+b AS calibrated FROM hold, l), {adoption_sql("c")}"""))
+def calibration_adoption(spark, d):
+    df = splits.stored(splits.holdout(portfolio.scored(spark, d), "y_true"), "holdout")
+    fit = models.LinearCalibrator.fit(df.where("part = 'calibration'"), "ml_pred")
+    return _verdict(fit.transform(df.where("part = 'holdout'"), "calibrated"))
+
+
+@query("f11_isotonic_calibrator", with_ctes(f""", {PARTS},
+pt AS (SELECT ml_pred AS x, avg(y_true) AS y, count(*)*1.0 AS w, row_number() OVER (ORDER BY ml_pred) AS i FROM cal GROUP BY ml_pred),
+cu AS (SELECT *, sum(w) OVER (ORDER BY i) AS cw, sum(w*y) OVER (ORDER BY i) AS cs FROM pt),
+ab AS (SELECT a.i AS a, b.i AS b, (b.cs-a.cs+a.w*a.y)/(b.cw-a.cw+a.w) AS v FROM cu a JOIN cu b ON b.i>=a.i),
+lows AS (SELECT a, b, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM ab),
+kn AS (SELECT x, g FROM pt JOIN (SELECT b AS i, max(v) AS g FROM lows GROUP BY b) z ON z.i=pt.i),
+nb AS (SELECT y_true, ml_pred, k0.x AS x0, k0.g AS g0, k1.x AS x1, k1.g AS g1 FROM hold ASOF LEFT JOIN kn k0 ON ml_pred>=k0.x ASOF LEFT JOIN kn k1 ON ml_pred<=k1.x),
+c AS (SELECT y_true, ml_pred, CASE WHEN x0 IS NULL THEN g1 WHEN x1 IS NULL OR x0=x1 THEN g0 ELSE g0+(g1-g0)*(ml_pred-x0)/(x1-x0) END AS calibrated FROM nb), {adoption_sql("c")}"""))
+def isotonic_calibrator(spark, d):
+    """Fitted on calibration rows, judged on the holdout. The SQL is the min-max form of the monotone fit."""
+    df = splits.stored(splits.holdout(portfolio.scored(spark, d), "y_true"), "holdout")
+    fit = learners.IsotonicCalibrator.fit(df.where("part = 'calibration'"), "ml_pred")
+    return _verdict(fit.transform(df.where("part = 'holdout'"), "calibrated"))
+
+
 def _route_case():
     x, out = "ml_pred", "ml_pred"
     for name, lo, hi in op.SPECIALIST_TIERS:

@@ -56,9 +56,14 @@ def stratified_folds(spark, d):
     return splits.folds(portfolio.policies(spark, d), "charges").select(KEY, "stratum", "fold")
 
 
-@query("e4_holdout_split", with_ctes(f"""
-, st AS (SELECT policy_id, {" + ".join(f"CAST(charges > (SELECT quantile_cont(charges,{i}/7.0) FROM policies) AS INT)" for i in range(1, 7))} AS stratum FROM policies)
-SELECT policy_id, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY {h(42)}) <= floor(count(*) OVER (PARTITION BY stratum)*0.4+0.5) THEN 'holdout' ELSE 'calibration' END AS part FROM st"""))
+def holdout_sql(table="policies", target="charges"):
+    """Tables st and hp: policy_id, stratum and part of every row."""
+    strata = " + ".join(f"CAST({target} > (SELECT quantile_cont({target},{i}/7.0) FROM {table}) AS INT)" for i in range(1, 7))
+    return f"""st AS (SELECT policy_id, {strata} AS stratum FROM {table}),
+hp AS (SELECT policy_id, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY {h(42)}) <= floor(count(*) OVER (PARTITION BY stratum)*0.4+0.5) THEN 'holdout' ELSE 'calibration' END AS part FROM st)"""
+
+
+@query("e4_holdout_split", with_ctes(f", {holdout_sql()} SELECT policy_id, stratum, part FROM hp"))
 def holdout_split(spark, d):
     return splits.holdout(portfolio.policies(spark, d), "charges").select(KEY, "stratum", "part")
 

@@ -36,10 +36,10 @@ CTES = {
     "priced": f"SELECT *, {blend_sql()} AS hybrid_pred FROM rated",
     "scored": "SELECT policy_id, charges AS y_true, ml_pred, act_pred, hybrid_pred FROM priced",
     "raw_records": """SELECT policy_id,
-      CASE WHEN policy_id % 29 = 0 THEN 'abc' WHEN policy_id % 41 = 0 THEN '130' ELSE CAST(age AS VARCHAR) END AS age,
+      CASE WHEN policy_id % 29 = 0 THEN 'abc' WHEN policy_id % 41 = 0 THEN '130' WHEN policy_id % 47 = 0 THEN '25.7' ELSE CAST(age AS VARCHAR) END AS age,
       CASE WHEN policy_id % 31 = 0 THEN ' MALE ' ELSE sex END AS sex,
       CASE WHEN policy_id % 23 = 0 THEN NULL ELSE printf('%.2f', bmi) END AS bmi,
-      CASE WHEN policy_id % 43 = 0 THEN '21' ELSE CAST(children AS VARCHAR) END AS children, smoker,
+      CASE WHEN policy_id % 43 = 0 THEN '21' WHEN policy_id % 53 = 0 THEN '2.9' ELSE CAST(children AS VARCHAR) END AS children, smoker,
       CASE WHEN policy_id % 37 = 0 THEN 'north' ELSE region END AS region FROM policies""",
     "duplicated": """SELECT * FROM policies UNION ALL
       SELECT policy_id + 1000000000000, age, sex, bmi, children, smoker, region, charges

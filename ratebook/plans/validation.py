@@ -16,11 +16,13 @@ _age, _bmi, _kids = (NUM.format(c) for c in ("age", "bmi", "children"))
 ERRORS = f"""concat_ws('|',
   CASE WHEN age IS NULL THEN 'age_missing' WHEN {_age} IS NULL THEN 'age_not_numeric' END,
   CASE WHEN {_age} < 18 OR {_age} > 120 THEN 'age_out_of_range' END,
+  CASE WHEN {_age} <> trunc({_age}) THEN 'age_not_integer' END,
   CASE WHEN lower(trim(sex)) IN ('male','female') THEN NULL ELSE 'sex_unknown' END,
   CASE WHEN bmi IS NULL THEN 'bmi_missing' WHEN {_bmi} IS NULL THEN 'bmi_not_numeric' END,
   CASE WHEN {_bmi} < 10 OR {_bmi} > 100 THEN 'bmi_out_of_range' END,
   CASE WHEN children IS NULL THEN 'children_missing' WHEN {_kids} IS NULL THEN 'children_not_numeric' END,
   CASE WHEN {_kids} < 0 OR {_kids} > 20 THEN 'children_out_of_range' END,
+  CASE WHEN {_kids} <> trunc({_kids}) THEN 'children_not_integer' END,
   CASE WHEN lower(trim(smoker)) IN ('yes','no') THEN NULL ELSE 'smoker_unknown' END,
   CASE WHEN lower(trim(region)) IN ('northeast','northwest','southeast','southwest') THEN NULL ELSE 'region_unknown' END)"""
 CHECKED = f"SELECT *, {ERRORS} AS errors FROM raw_records"

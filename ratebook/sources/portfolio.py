@@ -91,14 +91,14 @@ def raw_from(p: DataFrame) -> DataFrame:
     def defect(column: str, modulus: int, bad):
         return F.when(key % modulus == 0, F.lit(bad)).otherwise(F.col(column).cast("string")).alias(column)
 
-    age = F.when(key % 29 == 0, "abc").when(key % 41 == 0, "130").otherwise(F.col("age").cast("string"))
+    age = F.when(key % 29 == 0, "abc").when(key % 41 == 0, "130").when(key % 47 == 0, "25.7").otherwise(F.col("age").cast("string"))
     return p.select(
         "policy_id",
         age.alias("age"),
         defect("sex", 31, " MALE "),
         F.when(key % 23 == 0, F.lit(None)).otherwise(
             F.format_string("%.2f", "bmi")).alias("bmi"),
-        defect("children", 43, "21"),
+        F.when(key % 43 == 0, "21").when(key % 53 == 0, "2.9").otherwise(F.col("children").cast("string")).alias("children"),
         "smoker",
         defect("region", 37, "north"),
     )

@@ -38,11 +38,21 @@ def utc_day(instant) -> Column:
     return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd")
 
 
+#: Event types a drift monitor counts one by one.
+MOST_KINDS = 1_000
+
+
 def event_baseline(events: DataFrame) -> dict:
-    """Mean, sample deviation and category shares of a reference period."""
+    """Mean, sample deviation and category shares of a reference period; null is a category of its own.
+
+    Every window keeps a count per category, so more than MOST_KINDS of them are an error.
+    """
     row = events.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n")).first()
-    kinds = {r["event_type"]: r["n"] for r in events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {"mean": row["mean"], "std": row["std"], "shares": {k: v / row["n"] for k, v in sorted(kinds.items())}}
+    rows = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).limit(MOST_KINDS + 1).collect()
+    if len(rows) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} event types")
+    kinds = {r["event_type"]: r["n"] for r in sorted(rows, key=lambda r: (r["event_type"] is None, r["event_type"]))}
+    return {"mean": row["mean"], "std": row["std"], "shares": {k: v / row["n"] for k, v in kinds.items()}}
 
 
 def windowed_drift(events: DataFrame, baseline: dict, window: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -50,7 +60,7 @@ def windowed_drift(events: DataFrame, baseline: dict, window: str = "1 day", lat
     shares = baseline["shares"]
     counts = timed(events).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(
         F.count("value").alias("n"), F.avg("value").alias("new_mean"), F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(F.col("event_type") == k).alias(f"n_{i}") for i, k in enumerate(shares)])
+        *[F.count_if(F.col("event_type").eqNullSafe(F.lit(k))).alias(f"n_{i}") for i, k in enumerate(shares)])
     known = sum((F.col(f"n_{i}") for i in range(len(shares))), F.lit(0))
     gap = F.abs(F.lit(0.0))
     for i, share in enumerate(shares.values()):

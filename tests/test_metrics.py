@@ -45,12 +45,13 @@ def test_calibration_table_keeps_the_largest_prediction(scored_frame):
     assert metrics.calibration_table(df).agg(F.sum("n")).first()[0] == 100
 
 
-@pytest.mark.parametrize("slices", [1, 7, 200])
-def test_durbin_watson_any_slicing(spark, slices):
+@pytest.mark.parametrize("partitions", [None, 1, 7, 200])
+@pytest.mark.parametrize("order", ["k", ["hot", "k"]])
+def test_durbin_watson_any_slicing(spark, partitions, order):
     rng = np.random.default_rng(0)
     e = rng.normal(size=500)
-    df = spark.createDataFrame([(int(i * 3), float(v)) for i, v in enumerate(e)], "k long, e double").repartition(5)
-    got = metrics.durbin_watson(df, "k", "e", slices).first()["durbin_watson"]
+    df = spark.createDataFrame([(int(i * 3), float(v)) for i, v in enumerate(e)], "k long, e double").withColumn("hot", F.lit(7)).repartition(5)
+    got = metrics.durbin_watson(df, order, "e", partitions).first()["durbin_watson"]
     assert got == pytest.approx(np.sum(np.diff(e) ** 2) / np.sum(e**2))
 
 

@@ -25,10 +25,12 @@ def errors(df):
 def test_codes_and_bounds(raw):
     df = raw(
         GOOD, ("18", "male", "10", "0", "no", "southwest"), ("120", "male", "100", "20", "no", "southwest"),
-        ("17", "male", "9.99", "-1", "no", "southwest"), ("abc", "x", None, "21", "maybe", "north"))
+        ("17", "male", "9.99", "-1", "no", "southwest"), ("abc", "x", None, "21", "maybe", "north"),
+        ("25.7", "male", "27", "2.9", "no", "southwest"), ("25.0", "male", "27", "2.0", "no", "southwest"))
     assert errors(df) == [
         "", "", "", "age_out_of_range|bmi_out_of_range|children_out_of_range",
-        "age_not_numeric|sex_unknown|bmi_missing|children_out_of_range|smoker_unknown|region_unknown"]
+        "age_not_numeric|sex_unknown|bmi_missing|children_out_of_range|smoker_unknown|region_unknown",
+        "age_not_integer|children_not_integer", ""]
 
 
 def test_split_keeps_every_row_once(raw):
