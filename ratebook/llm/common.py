@@ -68,17 +68,18 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": low[keep], "v": nodes[keep]})
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 50, contract: bool = True) -> DataFrame:
     """(node, root) of every node of the edges (u, v): root is the smallest node reachable.
 
     Alternating large-star and small-star steps, each a grouped minimum and a join, so no node's
     neighbours meet in one task: minima are combined before the shuffle, and joins on a node of huge
     degree are split at run time. Every round is checkpointed. Edges are first contracted within
-    each Arrow batch, which keeps what they connect. Null ends and loops are ignored.
+    each Arrow batch, which keeps what they connect; ``contract`` is false where their maker has done so. Null ends
+    and loops are ignored.
     """
     e = (edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-         .where("u IS NOT NULL AND v IS NOT NULL AND u <> v").mapInPandas(_contract, "u long, v long"))
-    e = checkpointed(e.distinct())
+         .where("u IS NOT NULL AND v IS NOT NULL AND u <> v"))
+    e = checkpointed((e.mapInPandas(_contract, "u long, v long") if contract else e).distinct())
     seen = None
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u goes to the smallest of u and its neighbours.

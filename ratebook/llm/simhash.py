@@ -211,8 +211,8 @@ def near_links(distinct: DataFrame, scheme: Scheme, chunk: int = CHUNK) -> DataF
                     u, v = linked(prints[a:b], pivot_table(prints[a:b]), scheme.most)
                     us.append(a + u)
                     vs.append(a + v)
-            return pa.RecordBatch.from_pydict({name: pa.array(nodes(prints[np.concatenate(at)]), pa.int64())
-                                               for name, at in (("u", us), ("v", vs))})
+            of, low = roots(*(nodes(prints[np.concatenate(at)]) for at in (us, vs)))
+            return pa.RecordBatch.from_pydict({"u": pa.array(low[of != low], pa.int64()), "v": pa.array(of[of != low], pa.int64())})
 
         held = None
         for batch in batches:
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     prints = stored(fingerprints(docs, scheme), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     distinct = checkpointed(distinct.withColumn("node", node_column(scheme)))
-    parts = connected_components(near_links(distinct, scheme))
+    parts = connected_components(near_links(distinct, scheme), contract=False)
     rooted = distinct.join(parts, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces remembered per Python worker; further ones are encoded at each meeting. A matter of memory only.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _LONGEST_REMEMBERED = 48
 _RUNS = ("..", ".,", ",.", ",,")
 _BROKEN_RUN = re.compile(r"(?:[^\w\s]|_)[.,]")
