@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratebook.llm import (
-    decontamination, embedding_join, html_text, language_id, line_dedup, packing, secret_scan, simhash, token_files, warc,
+    decontamination, embedding_join, hard_negatives, html_text, language_id, line_dedup, packing, secret_scan, simhash, token_files, warc,
 )
 from ratebook.llm.common import table
 
@@ -62,6 +62,11 @@ def op10_decontamination(spark, folder):
     return decontamination.report(found)
 
 
+def op12_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries():
     import corpus_pipeline
 
@@ -94,5 +99,28 @@ FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
+#: Scores are sums of integers far below 2^53, so doubles hold them exactly.
+_OP12_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS alike,
+    CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
 def oracle_sql():
-    return {"op5_line_dedup": _OP5_SQL}
+    return {"op5_line_dedup": _OP5_SQL, "op12_hard_negatives": _OP12_SQL}
