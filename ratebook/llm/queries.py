@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratebook.llm import (
-    decontamination, embedding_join, hard_negatives, html_text, language_id, line_dedup, packing, secret_scan, simhash, token_files, warc,
+    alignment, decontamination, embedding_join, hard_negatives, html_text, language_id, line_dedup, packing, secret_scan, simhash, token_files, warc,
 )
 from ratebook.llm.common import table
 
 BYTE_VOCABULARY, BYTE_END = "byte_bpe_50k.json", 0
 WORD_VOCABULARY, WORD_END = "word_bpe_49k.json", 1
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_html_text(spark, folder):
@@ -62,6 +63,10 @@ def op10_decontamination(spark, folder):
     return decontamination.report(found)
 
 
+def op11_alignment(spark, folder):
+    return alignment.align(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_MODEL)
+
+
 def op12_hard_negatives(spark, folder):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
