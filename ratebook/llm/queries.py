@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratebook.llm import (
-    alignment, decontamination, embedding_join, hard_negatives, html_text, language_id, line_dedup, packing, secret_scan, simhash, token_files, warc,
+    alignment, decontamination, embedding_join, hard_negatives, html_text, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup,
+    token_files, warc,
 )
 from ratebook.llm.common import table
 
@@ -72,6 +73,11 @@ def op12_hard_negatives(spark, folder):
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op13_substring_dedup(spark, folder):
+    found = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries():
     import corpus_pipeline
 
