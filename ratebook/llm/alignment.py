@@ -7,6 +7,7 @@ tokens into groups. Pairs of ids are counted per batch by Arrow's group_by; Spar
 
 from __future__ import annotations
 
+import json
 import math
 import os
 from collections.abc import Iterator
@@ -28,67 +29,46 @@ SENT = 4_000_000
 _MANY_LINKS = 1 << 12
 #: Counts that a task holds before it hands them on.
 _HELD = 2_000_000
-_TIGHT = "\x00"
 
 
 class PieceEncoder:
-    """Ids of a sentencepiece model, with a memory of words.
-
-    No piece holds a space behind another letter, nor a line end, so words between single spaces and line ends are
-    encoded on their own; other texts go to the library whole.
-    """
+    """Ids of a sentencepiece model and the bytes of each."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        self.kind = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
         self.bytes = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str, skip: int = 0) -> bytes:
-        return np.array(self.library.encode(text, num_threads=1)[skip:], self.kind).tobytes()
-
-    def _word(self, w: str) -> bytes:
-        if w[0] != _TIGHT:
-            return self._ids(w)
-        # Behind a line end no space is added: the space and the line end put before the word are taken off again.
-        return self._ids("\n" + w[1:], 2) if len(w) > 1 else b""
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " \x00\n \x00").split(" ")
-        if not self.cuts or "" in words or "▁" in text or _TIGHT in text:
-            return self._ids(text)
-        got = list(map(self.known.get, words))
-        at = -1
-        for _ in range(got.count(None)):
-            at = got.index(None, at + 1)
-            w = words[at]
-            ids = self.known.get(w)
-            if ids is None:
-                ids = self._word(w)
-                if len(w) <= 48 and len(self.known) < tokens.REMEMBERED:
-                    self.known[w] = ids
-            got[at] = ids
-        return b"".join(got)
+
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text)
 
 
 class SpacedEncoder:
-    """Ids of a byte-level vocabulary for a space and a text; strings of special tokens are plain text."""
+    """Ids of a byte-level vocabulary for a space and a text; strings of special tokens are plain text.
+
+    The vocabulary's own merges, in the order of their ids, run in tiktoken, which keeps no words in memory.
+    """
 
     def __init__(self, path: str):
-        self.words = tokens.WordEncoder(path, True)
-        self.words.library.encode_special_tokens = True
-        self.kind = self.words.kind
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        vocabulary, special = made["model"]["vocab"], {t["id"] for t in made["added_tokens"]}
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in made["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("the ids of the vocabulary are not in the order of its merges")
         byte = {c: b for b, c in tokens._byte_letters().items()}
-        size = self.words.library.get_vocab_size()
-        self.bytes = [bytes(byte.get(c, 0) for c in self.words.library.id_to_token(i)) for i in range(size)]
+        spelled = {i: bytes(byte[c] for c in t) for t, i in vocabulary.items() if i not in special}
+        self.bytes = [spelled.get(i, b"") for i in range(1 + max(spelled.keys() | special))]
+        self.library = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                         mergeable_ranks={b: i for i, b in spelled.items()})
 
-    def encode(self, text: str) -> bytes:
-        # Before a space a letter is a token of its own; it is put there and taken off again.
-        return self.words.encode("a " + text)[self.kind.itemsize:]
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode_ordinary(" " + text)
 
 
 def _path(name: str) -> str:
@@ -112,9 +92,9 @@ class Aligner:
 
     def _lists(self, encoder, known: pa.Array, texts: list[str | None]) -> pa.ListArray:
         """Ids per text; texts whose tokens do not spell a space and the text have none, nor have null and empty ones."""
-        ids = [np.frombuffer(encoder.encode(t), encoder.kind) if t else np.zeros(0, encoder.kind) for t in texts]
+        ids = [np.array(encoder.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in texts]
         ends = np.cumsum([0, *map(len, ids)])
-        flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
+        flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
         spelled = known.take(flat)
         at = np.frombuffer(spelled.buffers()[1], np.int32)[:len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
         data = memoryview(spelled.buffers()[2] or b"").cast("B")
@@ -208,8 +188,7 @@ def alignments(docs: DataFrame, a: str, b: str) -> DataFrame:
     aren't read. A group's links are counted, not listed one by one, where they are many.
     """
     bounded_batches(docs)
-    width = len(PieceEncoder(_path(b)).bytes) * _vocabulary_size(_path(a))
-    code = "int" if width < 1 << 31 else "long"
+    code = "int" if aligner(a, b).pair == pa.int32() else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a, b)
@@ -227,13 +206,7 @@ def alignments(docs: DataFrame, a: str, b: str) -> DataFrame:
         run, f"doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<{code}>, times array<long>")
 
 
-def _vocabulary_size(path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path).get_vocab_size()
-
-
-def pair_counts(aligned: DataFrame, b: str) -> DataFrame:
+def pair_counts(aligned: DataFrame, a: str, b: str) -> DataFrame:
     """(pair, n, best): documents that hold the pair linked; best if no pair of the same id of a is in more of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +231,7 @@ def pair_counts(aligned: DataFrame, b: str) -> DataFrame:
         if held:
             yield from merged().combine_chunks().to_batches(100_000)
 
-    width = len(PieceEncoder(_path(b)).bytes)
+    width = aligner(a, b).width
     counts = aligned.select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     # One id of a has at most as many pairs as b has ids, so its window is bounded.
     own = W.partitionBy(F.floor(F.col("pair") / width))
@@ -307,5 +280,5 @@ def align(docs: DataFrame, a: str, b: str, sent: int = SENT) -> DataFrame:
     aligned = alignments(docs, a, b)
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     kept = stored(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"), "alignments")
-    counts = stored(pair_counts(kept, b), "pair-counts")
+    counts = stored(pair_counts(kept, a, b), "pair-counts")
     return link_scores(kept, counts, sent).drop("pairs", "times")

@@ -64,13 +64,12 @@ def aligned(df, **more):
     return {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment.align(df, A, B, **more).collect()}
 
 
-def test_words_give_the_libraries_ids(libraries):
+def test_merges_give_the_librarys_ids(libraries):
     draw = random.Random(5)
-    a, b = alignment.SpacedEncoder(public_tokenizers.path(A)), alignment.PieceEncoder(public_tokenizers.path(B))
+    a = alignment.SpacedEncoder(public_tokenizers.path(A))
     for _ in range(4000):
         text = "".join(draw.choice("ab éΣ.,\n\t '’-_)(1½İ日#$  \r\xa0\x00▁<s>{;ll") for _ in range(draw.randint(1, 16)))
-        assert np.frombuffer(a.encode(text), a.kind).tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids, repr(text)
-        assert np.frombuffer(b.encode(text), b.kind).tolist() == libraries[1].encode(text), repr(text)
+        assert a.encode(text) == libraries[0].encode(" " + text, add_special_tokens=False).ids, repr(text)
 
 
 ODD = [None, "", " ", "\n", "a", "▁x", "a  b \n c", "日本語のテキスト 日本", "x<|endoftext|>y <s>", "tab\there\r\nend ", "word " * 3000 + "end",
