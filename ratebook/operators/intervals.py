@@ -108,6 +108,48 @@ class ConformalBins:
         return df.withColumns({"lower": low * shift, "upper": high * shift})
 
 
+@dataclass(frozen=True)
+class ConformalBounds:
+    """Two quantile bounds moved outwards (or inwards) until they cover what they promise on rows apart.
+
+    A row's score is how far its target lies beyond the nearer bound, negative inside. The shift of both bounds is
+    the score at the conformal rank; ``per_side`` takes one for each bound, at half the error each.
+    """
+
+    below: float
+    above: float
+    n: int
+    alpha: float
+
+    @classmethod
+    def fit(cls, df: DataFrame, y, lower, upper, alpha: float = 0.10, per_side: bool = False, at_least: int = 30) -> "ConformalBounds":
+        low, high = cls._ordered(lower, upper)
+        scores = [low - col(y), col(y) - high] if per_side else [F.greatest(low - col(y), col(y) - high)]
+        error = alpha / len(scores)
+        shifts, n = [], 0
+        for score in scores:
+            n, found = order_statistics(df, score, lambda m: [conformal_rank(m, error)]).get((), (0, {}))
+            if n < at_least:
+                raise ValueError(f"conformal bounds need {at_least} rows, got {n}")
+            shifts.append(float(found[conformal_rank(n, error)]))
+        return cls(shifts[0], shifts[-1], n, alpha)
+
+    @staticmethod
+    def _ordered(lower, upper) -> tuple[Column, Column]:
+        """Quantiles fitted one by one may cross."""
+        return F.least(col(lower), col(upper)), F.greatest(col(lower), col(upper))
+
+    def transform(self, df: DataFrame, lower: str, upper: str, floor: float | None = 0.0) -> DataFrame:
+        """The bounds moved; where they would pass each other both are their middle."""
+        low, high = self._ordered(lower, upper)
+        low, high = low - F.lit(self.below), high + F.lit(self.above)
+        middle = (low + high) / 2
+        low, high = F.least(low, middle), F.greatest(high, middle)
+        if floor is not None:
+            low, high = F.greatest(low, F.lit(floor)), F.greatest(high, F.lit(floor))
+        return df.withColumns({lower: low, upper: high})
+
+
 def normal_quantile(level: float) -> float:
     return Z_VALUES.get(level) or NormalDist().inv_cdf((1 + level) / 2)
 

@@ -128,3 +128,20 @@ def rescaled_interval(spark, d):
 @query("h10_mean_interval")
 def mean_interval(spark, d):
     return rounded(iv.mean_interval(portfolio.policies(spark, d), "charges"), 4)
+
+
+_BOUNDS = "SELECT policy_id, charges, 0.85*ml_pred AS lower, 1.10*ml_pred AS upper, policy_id%5=0 AS apart FROM priced"
+
+
+@query("h1_quantile_bounds", with_ctes(f"""
+, r AS (SELECT greatest(lower-charges, charges-upper) AS a, row_number() OVER (ORDER BY greatest(lower-charges, charges-upper)) AS rn, count(*) OVER () AS n FROM bounds WHERE NOT apart),
+s AS (SELECT n, a FROM r WHERE rn={_K}),
+m AS (SELECT charges, greatest(lower-a,0.0) AS l, greatest(upper+a,0.0) AS u FROM bounds, s WHERE apart)
+SELECT max(s.n) AS n, round(max(s.a),4) AS shift, count(*) AS n_apart, round(avg(CASE WHEN charges BETWEEN l AND u THEN 1.0 ELSE 0.0 END),6) AS empirical, round(avg(u-l),4) AS mean_width FROM m, s""", bounds=_BOUNDS))
+def quantile_bounds(spark, d):
+    """Given bounds, adjusted on four fifths of the policies and judged on the last one."""
+    df = portfolio.priced(spark, d).select(KEY, "charges", (F.col("ml_pred") * 0.85).alias("lower"), (F.col("ml_pred") * 1.10).alias("upper"))
+    fit = iv.ConformalBounds.fit(df.where("policy_id % 5 <> 0"), "charges", "lower", "upper")
+    out = iv.coverage(fit.transform(df.where("policy_id % 5 = 0"), "lower", "upper"), "charges")
+    return rounded(out.select(F.lit(fit.n).cast("long").alias("n"), F.lit(fit.below).alias("shift"), F.col("n").alias("n_apart"), "empirical", "mean_width"),
+                   {"shift": 4, "empirical": 6, "mean_width": 4})

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ratebook.config import KEY
 from ratebook.functions import moments as m
 from ratebook.functions.columns import rounded
-from ratebook.operators import forest, learners, pricing, splits
+from ratebook.operators import forest, intervals, learners, models, pricing, quantile_models as qm, splits
 from ratebook.plans.registry import query
+from ratebook.plans.sql import with_ctes
 from ratebook.sources import portfolio
 
 
@@ -57,6 +58,60 @@ def boosted_trees(spark, d):
     return scores(df, {"boosted": learners.train(fit, "boosted", weight="weight", validation="is_val", maxIter=20)})
 
 
+def quantile_forest(df):
+    return qm.QuantileForest.fit(df.where("split = 'train'"), numTrees=20)
+
+
+@query("f4_quantile_forest")
+def quantile_forest_premium(spark, d):
+    """The 30 per cent quantile of the charge for rows that the forest has not seen."""
+    df = parted(spark, d)
+    out = quantile_forest(df).transform(df.where("split <> 'train'"), [0.30], ["risk_premium"])
+    return rounded(out.select(KEY, "split", "label", "risk_premium"), 4)
+
+
+@query("f4_quantile_losses")
+def quantile_losses(spark, d):
+    """Pinball loss on rows apart: the forest, the linear fit and the table of cells."""
+    p = splits.train_val_test(portfolio.policies(spark, d))
+    df = splits.stored(learners.learning_table(p, keep=["split", "smoker"]), "quantiles")
+    fit, rest = df.where("split = 'train'"), df.where("split <> 'train'")
+    rest = quantile_forest(df).transform(rest, [0.30], ["forest"])
+    rest = qm.LinearQuantile.fit(fit, ["age", "bmi", "children", "smoking", "smoker_bmi", "smoker_age"], 0.30).transform(rest, "linear")
+    rest = models.QuantileTable.fit(fit, 0.30, "label").transform(rest).withColumnRenamed("risk_premium", "cells")
+    return rounded(qm.pinball_table(rest, 0.30, {c: c for c in ("forest", "linear", "cells")}), 4)
+
+
+@query("f1_linear_quantile", with_ctes("""
+, g AS (SELECT smoker, charges, row_number() OVER (PARTITION BY smoker ORDER BY charges) AS r, count(*) OVER (PARTITION BY smoker) AS n FROM policies),
+q AS (SELECT max(charges) FILTER (smoker='no') AS a, max(charges) FILTER (smoker='yes') AS b FROM g WHERE r = ceil(0.3003*n))
+SELECT 0.3003 AS alpha, round(a,4) AS intercept, round(b-a,4) AS smoking, true AS exact FROM q"""))
+def linear_quantile(spark, d):
+    """With one yes-or-no input the fit is the quantile of either group."""
+    fit = qm.LinearQuantile.fit(learners.learning_table(portfolio.policies(spark, d)), ["smoking"], 0.3003)
+    return rounded(spark.createDataFrame([(fit.alpha, fit.intercept, fit.coefficients[0], fit.exact)],
+                                         "alpha double, intercept double, smoking double, exact boolean"), {"intercept": 4, "smoking": 4})
+
+
+@query("f1_quantile_conditions", with_ctes("SELECT count(*) AS n, true AS share_holds, true AS subgradient_holds, 3 AS n_on FROM policies"))
+def quantile_conditions(spark, d):
+    """What makes a fit on two inputs the best one; the statement says what must come out."""
+    df = learners.learning_table(portfolio.policies(spark, d))
+    fit = qm.LinearQuantile.fit(df, ["age", "bmi"], 0.30)
+    return fit.conditions(df).select("n", "share_holds", "subgradient_holds", F.col("n_on").cast("int").alias("n_on"))
+
+
+@query("h2_conformal_quantiles")
+def conformal_quantiles(spark, d):
+    """Forest quantiles at 5 and 95 per cent, adjusted on the validation rows and judged on the test rows."""
+    df = parted(spark, d)
+    both = quantile_forest(df).transform(df.where("split <> 'train'"), [0.05, 0.95], ["lower", "upper"])
+    both = splits.stored(both.select(KEY, "split", "label", "lower", "upper"), "quantile-bounds")
+    fit = intervals.ConformalBounds.fit(both.where("split = 'val'"), "label", "lower", "upper")
+    out = intervals.coverage(fit.transform(both.where("split = 'test'"), "lower", "upper"), "label")
+    return rounded(out, {"empirical": 6, "gap": 6, "mean_width": 4, "median_width": 4})
+
+
 @query("f6_grid_search")
 def grid_search(spark, d):
     return rounded(learners.grid_search(folded(spark, d), "boosted", {"maxDepth": [2, 4], "maxIter": [5, 10]}, folds=5), 4)
