@@ -8,8 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor)
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,33 +102,6 @@ def cv_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.agg(F.avg("rmse").alias("mean_rmse"), F.stddev_pop("rmse").alias("std_rmse"), F.sum("n").alias("n"))
 
 
-class IsotonicCalibrator:
-    """Monotone map from prediction to charge, clipped outside the fitted range.
-
-    Rows are first reduced to one weighted point per distinct prediction, which loses nothing. Adjacent
-    violators are pooled within ranges of the prediction; only the blocks left of that meet on the driver.
-    """
-
-    def __init__(self, model, prediction: str):
-        self.model, self.prediction = model, prediction
-
-    @classmethod
-    def fit(cls, df: DataFrame, prediction: str, target: str = "y_true", at_least: int = 50) -> "IsotonicCalibrator":
-        rows = df.select(col(prediction).cast("double").alias("x"), col(target).cast("double").alias("y")).where(
-            "x IS NOT NULL AND y IS NOT NULL")
-        points = rows.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-        with kept(points):
-            n = int(points.agg(F.sum("w")).first()[0] or 0)
-            if n < at_least:
-                raise ValueError(f"a calibrator needs {at_least} rows, got {n}")
-            vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)
-            return cls(IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w").fit(vec), prediction)
-
-    def transform(self, df: DataFrame, output: str) -> DataFrame:
-        vec = VectorAssembler(inputCols=[self.prediction], outputCol="_iso").transform(df)
-        return self.model.copy({self.model.featuresCol: "_iso", self.model.predictionCol: output}).transform(vec).drop("_iso")
-
-
 def specialists(df: DataFrame, base: str, tiers=SPECIALIST_TIERS, at_least: int = 50, rounds: int | None = None) -> dict[str, Model]:
     """One boosted model per tier of the base premium. Small tiers grow shallower trees and fewer of them, and a
     leaf holds a fortieth of the tier at least. ``rounds`` fixes the number of trees for all tiers."""

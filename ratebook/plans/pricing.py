@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ratebook.config import KEY, Blend
 from ratebook.functions import features, pricing as fx
 from ratebook.functions.columns import rounded
-from ratebook.operators import gates, learners, metrics, models, pricing as op, selection, splits
+from ratebook.operators import gates, isotonic, metrics, models, pricing as op, selection, splits
 from ratebook.plans.features import AGE_GROUP, BMI_CATEGORY, SCORE_SQL
 from ratebook.plans.metrics import hybrid, r2_sql, rmse_sql
 from ratebook.plans.registry import query
@@ -352,7 +352,7 @@ c AS (SELECT y_true, ml_pred, CASE WHEN x0 IS NULL THEN g1 WHEN x1 IS NULL OR x0
 def isotonic_calibrator(spark, d):
     """Fitted on calibration rows, judged on the holdout. The SQL is the min-max form of the monotone fit."""
     df = splits.stored(splits.holdout(portfolio.scored(spark, d), "y_true"), "holdout")
-    fit = learners.IsotonicCalibrator.fit(df.where("part = 'calibration'"), "ml_pred")
+    fit = isotonic.IsotonicCalibrator.fit(df.where("part = 'calibration'"), "ml_pred")
     return _verdict(fit.transform(df.where("part = 'holdout'"), "calibrated"))
 
 

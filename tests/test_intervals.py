@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from ratebook.operators import forest, intervals as iv, learners
+from ratebook.operators import forest, intervals as iv, isotonic, learners
 from ratebook.sources import files, portfolio
 
 
@@ -70,7 +70,7 @@ def test_shuffling_keeps_the_values(spark, data):
 
 def test_isotonic_is_monotone(spark, data):
     df = portfolio.scored(spark, data)
-    out = learners.IsotonicCalibrator.fit(df, "ml_pred").transform(df, "c").orderBy("ml_pred").collect()
+    out = isotonic.IsotonicCalibrator.fit(df, "ml_pred").transform(df, "c").orderBy("ml_pred").collect()
     values = [r["c"] for r in out]
     assert all(a <= b + 1e-9 for a, b in zip(values, values[1:]))
 
