@@ -42,7 +42,7 @@ def aggregate(df: DataFrame, columns: dict) -> dict:
     return out
 
 
-#: Most classes an encoder takes on; a column with more isn't a category.
+#: Most classes that an encoder holds as literals; with more they stay a table (``encoders``).
 MOST_CLASSES = 10_000
 
 
@@ -62,6 +62,10 @@ def category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     return out
 
 
+def many_classes(df: DataFrame, columns: Sequence[str], most: int) -> bool:
+    return _counted(df, columns).limit(most + 1).count() > most
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
     """The commonest value of each column, the smallest one on a tie; columns of any number of values."""
     rows = _counted(df, columns).groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
@@ -131,7 +135,12 @@ class LabelEncoder:
     defaults: dict
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str] = ("sex", "smoker")) -> "LabelEncoder":
+    def fit(cls, df: DataFrame, columns: Sequence[str] = ("sex", "smoker"), most: int = MOST_CLASSES):
+        """With more than ``most`` classes the result is a TableEncoder, which gives the same numbers."""
+        if many_classes(df, columns, most):
+            from ratebook.operators.encoders import TableEncoder
+
+            return TableEncoder.fit(df, columns)
         counts = category_counts(df, columns)
         return cls({c: sorted(n) for c, n in counts.items()}, {c: most_frequent(n) for c, n in counts.items()})
 
@@ -148,7 +157,12 @@ class OneHot:
     categories: dict
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str] = ("region", "bmi_category", "age_group")) -> "OneHot":
+    def fit(cls, df: DataFrame, columns: Sequence[str] = ("region", "bmi_category", "age_group"), most: int = MOST_CLASSES):
+        """With more than ``most`` categories the result is a TableOneHot: where the one is, not a column each."""
+        if many_classes(df, columns, most):
+            from ratebook.operators.encoders import TableOneHot
+
+            return TableOneHot.fit(df, columns)
         return cls({c: sorted(n)[1:] for c, n in category_counts(df, columns).items()})
 
     @property

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ratebook.config import FOUR_TIERS, GATE_TIERS, SEGMENTS
 from ratebook.functions import moments as m
 from ratebook.functions.columns import rounded
-from ratebook.operators import gates, metrics, validation
+from ratebook.operators import gates, metrics, ranks, validation
 from ratebook.functions import features
+from ratebook.functions.normal import normal_quantile_sql
 from ratebook.plans.registry import query
 from ratebook.plans.sql import with_ctes
 from ratebook.sources import portfolio
@@ -336,6 +337,17 @@ def residual_diagnostics(spark, d):
     return rounded(out, {c: 6 if c in ("skewness", "kurtosis", "normality_p", "outlier_pct") else 4 for c in out.columns})
 
 
+_SCORE = normal_quantile_sql("(rk-0.375)/(n+0.25)")
+
+
+@query("i23_shapiro_francia", with_ctes(f"""
+, r AS (SELECT y_true-price AS e, row_number() OVER (ORDER BY y_true-price) AS r, count(*) OVER () AS n FROM hy),
+t AS (SELECT e, n, avg(r) OVER (PARTITION BY e) AS rk FROM r)
+SELECT count(*) AS n, round(power(corr(e, {_SCORE}),2),6) AS w FROM t""", hy=HYBRID))
+def shapiro_francia(spark, d):
+    return rounded(ranks.shapiro_francia(hybrid(spark, d), F.col("y_true") - F.col("price")), 6)
+
+
 @query("i24_durbin_watson", with_ctes("""
 , s AS (SELECT y_true-price AS e, y_true-price - lag(y_true-price) OVER (ORDER BY policy_id) AS dd FROM hy)
 SELECT count(*) AS n, round(sum(dd*dd)/sum(e*e),6) AS durbin_watson, abs(sum(dd*dd)/sum(e*e)-2.0)>0.5 AS autocorrelated FROM s""", hy=HYBRID))

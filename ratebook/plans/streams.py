@@ -9,7 +9,8 @@ from ratebook.plans.registry import query
 from ratebook.plans.sql import ACT, with_ctes
 from ratebook.plans.validation import CHECKED, _age, _bmi, _kids
 from ratebook.sources import portfolio
-from ratebook.streaming import monitors, scoring
+from ratebook.session import work_path
+from ratebook.streaming import latest, monitors, scoring
 
 _TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -38,6 +39,17 @@ def stream_requests(spark, d):
     return rounded(out.withColumn("day", monitors.utc_day("window_start")).drop("window_start", "p50", "p95", "p99"), 6)
 
 
+@query("l11_stream_latest", with_ctes("""
+, l AS (SELECT event_type, latency, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM requests WHERE NOT rejected)
+SELECT event_type, count(latency) AS samples, round(avg(latency),6) AS mean, round(quantile_cont(latency,0.5),6) AS p50, round(quantile_cont(latency,0.95),6) AS p95, round(quantile_cont(latency,0.99),6) AS p99
+FROM l WHERE r<=1000 GROUP BY 1"""))
+def stream_latest(spark, d):
+    """Exact latency percentiles over the newest thousand served requests of each type, kept as state of a stream."""
+    log = portfolio.requests_from(monitors.timed(monitors.stream_table(spark, d, "events"))).where("NOT rejected")
+    buffers = latest.followed(latest.newest_requests(log, ["event_type"]), work_path(spark, "latest"), ["event_type", "lane"])
+    return rounded(latest.latest_figures(buffers, ["event_type"]), 6)
+
+
 @query("l12_stream_scoring", with_ctes(f"""
 , ok AS (SELECT policy_id, CAST({_age} AS INT) AS age, {_bmi} AS bmi, CAST({_kids} AS INT) AS children, smoker, region FROM checked WHERE errors = '')
 SELECT policy_id, 'success' AS status, CAST(NULL AS VARCHAR) AS error, {SCORE_SQL} AS risk_score, round({ACT},6) AS premium FROM ok
