@@ -24,14 +24,18 @@ def normal_form(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+def line_hash(line: Column, min_words: int) -> Column:
+    """Hash of a line's normal form; null where that has fewer than ``min_words`` words, parted by single spaces."""
+    line = normal_form(line)
+    return F.when(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= min_words - 1, F.xxhash64(line))
+
+
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, site, hash) of every line of ``min_words`` words or more; null texts have none."""
-    line = normal_form(F.col("line"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"),
-        F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")).where(
-            F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= min_words - 1).select(
-                "doc_id", "site", F.xxhash64(line).alias("hash"))
+        F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")).select(
+            "doc_id", "site", line_hash(F.col("line"), min_words).alias("hash")).where("hash IS NOT NULL")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 5, lg_k: int = 10) -> DataFrame:
@@ -56,13 +60,13 @@ def _by_join(docs: DataFrame, flagged: DataFrame, min_words: int) -> DataFrame:
     """``docs`` with ``_kept``: the lines left of a document that loses some, else null."""
     hits = lines(docs, min_words).join(flagged, "hash").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     per_doc = stored(hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("hash").alias("_flagged")), "flagged-lines")
-    kept = F.filter(F.split("text", "\n", -1), lambda line: ~F.array_contains("_flagged", F.xxhash64(normal_form(line))))
+    kept = F.filter(F.split("text", "\n", -1), lambda line: ~F.coalesce(F.array_contains("_flagged", line_hash(line, min_words)), F.lit(False)))
     changed = F.col("_flagged").isNotNull() & F.col("text").isNotNull()
     joined = docs.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
     return joined.withColumn("_kept", F.when(changed, kept)).drop("_doc", "_flagged")
 
 
-def _by_lookup(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+def _by_lookup(docs: DataFrame, flagged: DataFrame, min_words: int) -> DataFrame:
     """The same with the flagged lines in every task, so that no text is shuffled."""
     rows = sorted((r["hash"], r["first_doc"]) for r in flagged.select("hash", "first_doc").collect())
     known = np.array([h for h, _ in rows], np.int64)
@@ -73,11 +77,12 @@ def _by_lookup(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = batch.column(len(columns))
-            flat = hashes.flatten().to_numpy()
+            flat = hashes.flatten()
+            short, flat = flat.is_null().to_numpy(zero_copy_only=False), flat.fill_null(0).to_numpy()
             sizes = hashes.value_lengths().fill_null(0).to_numpy().astype(np.int64)
             owner = np.repeat(np.arange(len(batch)), sizes)
             at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
-            gone = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            gone = (known[at] == flat) & ~short if len(known) else np.zeros(len(flat), bool)
             doc = batch.column(len(columns) + 1)
             ids, missing = doc.fill_null(0).to_numpy()[owner], doc.is_null().to_numpy(zero_copy_only=False)[owner]
             if len(known):
@@ -90,7 +95,7 @@ def _by_lookup(docs: DataFrame, flagged: DataFrame) -> DataFrame:
                 kept[i] = [line for line, out in zip(texts[i].as_py().split("\n"), mask) if not out]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], pa.array(kept, pa.list_(pa.string()))], [*columns, "_kept"])
 
-    line_hashes = F.transform(F.split("text", "\n", -1), lambda line: F.xxhash64(normal_form(line)))
+    line_hashes = F.transform(F.split("text", "\n", -1), lambda line: line_hash(line, min_words))
     schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.ArrayType(T.StringType()))])
     return docs.select(*columns, line_hashes.alias("_hashes"), F.col("doc_id").cast("long").alias("_doc")).mapInArrow(run, schema)
 
@@ -108,7 +113,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 5,
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     docs = docs.withColumn("text", F.col("text").cast("string"))
     flagged = stored(boilerplate(docs, min_sites, min_words, lg_k), "boilerplate")
-    found = _by_lookup(docs, flagged) if flagged.count() <= most_sent else _by_join(docs, flagged, min_words)
+    found = _by_lookup(docs, flagged, min_words) if flagged.count() <= most_sent else _by_join(docs, flagged, min_words)
     changed, size = F.col("_kept").isNotNull(), F.size(F.split("text", "\n", -1))
     more = [F.when(F.col("text").isNull(), 0).otherwise(size).alias("n_lines"),
             F.when(changed, size - F.size("_kept")).otherwise(0).alias("n_removed")] if counts else []

@@ -94,13 +94,13 @@ WITH l AS (
         FROM documents WHERE text IS NOT NULL)),
 b AS (
   SELECT norm, min(doc_id) AS first_doc FROM l
-  WHERE length(line) - length(replace(line, ' ', '')) >= 4
+  WHERE length(norm) - length(replace(norm, ' ', '')) >= 4
   GROUP BY norm HAVING count(DISTINCT site) >= 5),
 k AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
   FROM (SELECT l.*, b.norm IS NOT NULL AND l.doc_id IS DISTINCT FROM b.first_doc
-          AND length(line) - length(replace(line, ' ', '')) >= 4 AS gone
+          AND length(l.norm) - length(replace(l.norm, ' ', '')) >= 4 AS gone
         FROM l LEFT JOIN b ON l.norm = b.norm)
   GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INT) AS n_lines, CAST(coalesce(n_removed, 0) AS INT) AS n_removed,
