@@ -79,24 +79,31 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, leading: int = 8, b
     """(vec_id, n_links, component_id, kept) of every row.
 
     Equal vectors are joined once, with their number as weight. A block pair gives the number of links per
-    vector and a spanning forest of its links, never the pairs themselves. Null, empty or zero vectors, those
-    with null or non-finite components, and vectors of another length than the most common one's link with
-    nothing; they have no links and are their own component. A null vec_id is never smallest: its component_id
+    vector and a spanning forest of its links, never the pairs themselves. Null, empty or zero vectors
+    and those with null or non-finite components link with nothing; they have no links and are their own component.
+    Vectors are compared with those of their own length, one length after the other. A null vec_id is never smallest: its component_id
     is null and kept false if it's alone. Repeated rows link with each other; extra columns aren't read.
     """
-    epsilon = math.sqrt(2 - 2 * cosine)
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     largest = F.array_max(F.transform(v, F.abs))
     rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v"), F.coalesce(
         (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (largest > 0),
         F.lit(False)).alias("sound"))
     rows = stored(rows, "vectors")
-    length = rows.where("sound").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    sound = F.col("sound") & (F.size("v") == (length["d"] if length else 0))
+    lengths = [r["d"] for r in rows.where("sound").select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     # + 0.0 makes the two zeros one.
-    key = F.when(sound, F.transform("v", lambda x: x + F.lit(0.0)))
-    rows = rows.select("vec_id", key.alias("v"))
-    groups = rows.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"))
+    sound = rows.where("sound").select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
+    out = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for d in lengths:
+        same = sound if len(lengths) == 1 else sound.where(F.size("v") == d)
+        out = out.unionByName(_joined(same, cosine, leading, block_rows, leaf))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _joined(rows: DataFrame, cosine: float, leading: int, block_rows: int, leaf: int) -> DataFrame:
+    """(vec_id, n_links, component_id) of sound vectors of one length."""
+    epsilon = math.sqrt(2 - 2 * cosine)
+    groups = rows.groupBy("v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"))
 
     def to_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -191,6 +198,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, leading: int = 8, b
         "v", "low", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     least = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = nodes.join(least, "root").select("v", "n_links", "component_id")
-    out = rows.where("v IS NOT NULL").join(named, "v").select("vec_id", "n_links", "component_id")
-    alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return rows.join(named, "v").select("vec_id", "n_links", "component_id")
