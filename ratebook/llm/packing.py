@@ -4,7 +4,8 @@ How full a sequence gets depends on lengths alone, and lengths are at most the c
 searched over the histogram of lengths (at most ``capacity`` rows, whatever the table's size): around the
 largest length left, the undominated completions are enumerated largest first, branches that can't leave less
 waste than the incumbent are pruned, and the best-fit completion is the first incumbent. A filling is
-repeated as often as its lengths last. Rows then find their place by their rank within their length.
+repeated as often as its lengths last. Best-fit decreasing over the whole histogram is the incumbent of the whole: the
+packing of fewer sequences is taken. Rows then find their place by their rank within their length.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ratebook.llm.common import bounded_batches, stored
 from ratebook.llm.tokens import encoder
 
-#: Branches looked at per filling before its incumbent is taken. Search effort only: every piece is packed.
+#: Branches looked at per filling before its incumbent is taken (None: all). Search effort only: every piece is packed.
 EFFORT = 2_000
 
 
-def complete(counts: np.ndarray, room: int, effort: int = EFFORT) -> list[int]:
+def complete(counts: np.ndarray, room: int, effort: int | None = EFFORT) -> list[int]:
     """Lengths, longest first, that fill ``room`` best from ``counts`` (by length); longer ones win ties.
 
     Best fit gives the incumbent. A branch takes the longest length that fits, then the next shorter; it is
@@ -51,7 +52,7 @@ def complete(counts: np.ndarray, room: int, effort: int = EFFORT) -> list[int]:
     tail = np.cumsum((have * left[have])[::-1])[::-1]
     sizes, looked = have.tolist(), 0
     stack = [(room, 0, ())]  # room left, first length allowed, lengths taken with their numbers
-    while stack and waste and looked < effort:
+    while stack and waste and (effort is None or looked < effort):
         space, i, taken = stack.pop()
         looked += 1
         used = dict(taken)
@@ -71,8 +72,42 @@ def complete(counts: np.ndarray, room: int, effort: int = EFFORT) -> list[int]:
     return best
 
 
-def fillings(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths, how often) covering the histogram exactly."""
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """(lengths, how often) by best-fit decreasing. Sequences of one content are one entry, so a length is dealt at
+    once: the tightest sequences that it fits take as many of it as fit, then the next tighter ones."""
+    by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for size in sorted((k for k, n in counts.items() if n), reverse=True):
+        n = counts[size]
+        while n:
+            room = min((r for r in by_room if r >= size), default=None)
+            if room is None:
+                held, times, room = (), n, capacity
+            else:
+                held, times = by_room[room].pop()
+                if not by_room[room]:
+                    del by_room[room]
+            k = room // size
+            full = min(times, n // k)
+            if full:
+                by_room.setdefault(room - k * size, []).append(((*held, *[size] * k), full))
+            n -= full * k
+            rest = min(n, k - 1) if full < times else 0
+            if rest:
+                by_room.setdefault(room - rest * size, []).append(((*held, *[size] * rest), 1))
+                n -= rest
+            if held and times - full - bool(rest):
+                by_room.setdefault(room, []).append((held, times - full - bool(rest)))
+    return [(list(held), times) for entries in by_room.values() for held, times in entries]
+
+
+def fillings(counts: dict[int, int], capacity: int, effort: int | None = EFFORT) -> list[tuple[list[int], int]]:
+    """(lengths, how often) covering the histogram exactly: bin completion, or best fit where that takes fewer."""
+    found, plain = completions(counts, capacity, effort), best_fit(counts, capacity)
+    return found if sum(n for _, n in found) <= sum(n for _, n in plain) else plain
+
+
+def completions(counts: dict[int, int], capacity: int, effort: int | None = EFFORT) -> list[tuple[list[int], int]]:
+    """(lengths, how often) by completing the largest length left, again and again."""
     left = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         left[size] = n
@@ -80,7 +115,7 @@ def fillings(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int
     for size in range(capacity, 0, -1):
         while left[size]:
             left[size] -= 1
-            rest = complete(left, capacity - size)
+            rest = complete(left, capacity - size, effort)
             left[size] += 1
             filling = [size, *rest]
             need = np.bincount(filling, minlength=capacity + 1)
@@ -91,10 +126,10 @@ def fillings(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int
     return out
 
 
-def places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+def places(counts: dict[int, int], capacity: int, effort: int | None = EFFORT) -> list[tuple[int, int, int, int, int, int]]:
     """(length, from_rank, to_rank, first sequence, per sequence, offset): where the ranks of a length go."""
     out, taken, first = [], dict.fromkeys(counts, 0), 0
-    for filling, times in fillings(counts, capacity):
+    for filling, times in fillings(counts, capacity, effort):
         offset = 0
         for size in dict.fromkeys(filling):
             k = filling.count(size)
@@ -127,7 +162,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int, shard_rows: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, shard_rows: int = 100_000, effort: int | None = EFFORT) -> DataFrame:
     """``pieces`` (with a ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
     Ranks within a length are found in two steps, so that a length with a third of all rows isn't ranked in
@@ -141,7 +176,7 @@ def pack(pieces: DataFrame, capacity: int, shard_rows: int = 100_000) -> DataFra
     kept = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
     sizes = kept.groupBy("length", "shard").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = places(counts, capacity)
+    rows = places(counts, capacity, effort)
     of_length = (spark.createDataFrame(rows, "length long, lo long, hi long, first long, per long, at long")
                  .groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "first", "per", "at"))).alias("spots")))
     bases = sizes.select("length", "shard", F.coalesce(F.sum("n").over(
@@ -156,6 +191,6 @@ def pack(pieces: DataFrame, capacity: int, shard_rows: int = 100_000) -> DataFra
         (F.col("s.at") + q % F.col("s.per") * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096, effort: int | None = EFFORT) -> DataFrame:
     """Every document as pieces with a place; null texts are empty and hold the end id alone; extra columns are not read."""
-    return pack(pieces(docs, vocabulary, end_id, capacity), capacity)
+    return pack(pieces(docs, vocabulary, end_id, capacity), capacity, effort=effort)
