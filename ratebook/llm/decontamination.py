@@ -219,17 +219,16 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = 10, shard_words: int
 
     if len(blocks) == 1:
         return searched(blocks[0])
-    others = [c for c in docs.columns if c != "text"]
+    own = docs.columns
+    docs = docs.withColumn("_found_row", F.monotonically_increasing_id())  # one scan feeds all blocks in the same order
     found = None
     for phrases in blocks:
         part = searched(phrases)
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy(*others, "text").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("copies"))
-    copies = F.explode(F.sequence(F.lit(1), (F.col("copies") / len(blocks)).cast("int")))
-    return merged.withColumn("spans", _merged_spans(F.col("spans"))).withColumn("_copy", copies).select(
-        *docs.columns, "n_words", "spans", "items")
+    merged = found.groupBy("_found_row").agg(
+        F.first(F.struct(*own)).alias("_own"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.withColumn("spans", _merged_spans(F.col("spans"))).select("_own.*", "n_words", "spans", "items")
 
 
 def _merged_spans(spans):
