@@ -2,13 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ratebook.llm import (
-    common, decontamination, embedding_join, html_text, language_id, line_dedup, packing, secret_scan, simhash, token_files, tokens, warc,
+    common, decontamination, embedding_join, html_text, language_id, line_dedup, packing, queries, secret_scan, simhash, token_files, tokens, warc,
 )
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, score double, n_removed int, rejected int, n_words int, "
@@ -62,6 +63,11 @@ def test_stages_keep_columns_and_clashing_values(spark, odd, data):
         assert stage(spark, empty(odd), data).count() == 0
     left = corpus_pipeline.near_duplicates(spark, odd, data)
     assert left.where("doc_id IS NULL").count() == 1 and left.where("doc_id = 0").count() == 1
+    apart = odd.limit(0).unionByName(spark.createDataFrame(
+        [(1, "one text about the harbour and the ships in it"), (1, "quite another text on bread, salt and butter"), (None, "a third one, which nobody has given a number")] * 2,
+        "doc_id long, text string"), allowMissingColumns=True)
+    assert corpus_pipeline.near_duplicates(spark, apart, data).select("doc_id", "text").distinct().count() == 3
+    assert corpus_pipeline.near_duplicates(spark, apart, data).count() == 3
 
 
 def test_lines_stay_in_their_first_document(odd):
@@ -77,6 +83,20 @@ def test_joined_lines_are_those_looked_up(spark, odd, data):
         assert ways[0].where("n_removed > 0").count() > 0
 
 
+def test_indented_and_short_lines_have_one_answer(spark):
+    line = "Share this page with friends"
+    rows = [(i, f"    {line}", f"s{i}") for i in range(6)] + [(50, line, "s50"), (51, f"{line}\n    {line}  \n x", "s51"), (52, "    Share this", "s52")]
+    rows += [(60 + i, "       Share", f"u{i}") for i in range(7)]  # spaces around a line make no words
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = sorted((r[0], r[2], r[3]) for r in con.sql(queries.oracle_sql()["op5_line_dedup"]).select("doc_id, n_lines, n_removed, n_chars_kept").fetchall())
+    for most in (0, 10 ** 6):
+        got = sorted((r["doc_id"], r["n_removed"], len(r["text"])) for r in line_dedup.remove_boilerplate(df, most_sent=most).collect())
+        assert got == want
+    assert (50, 1, 0) in want and (51, 2, 2) in want and (52, 0, 14) in want and (60, 0, 12) in want
+
+
 def test_secrets_need_their_complement(spark):
     rows = [(1, "user: alice1 pwd: hunter2x"), (2, "pwd: hunter2x"), (3, "user: alice1" + " " * 400 + "pwd: hunter2x"),
             (4, "user: alice1\n\npwd: hunter2x"), (5, "db at postgres://h/x, pass = abcd1"), (6, "token = 0123456789abcdef0")]
@@ -115,6 +135,27 @@ def test_packing_of_hard_lengths():
         assert used == counts
         bound = max(-(-sum(k * n for k, n in counts.items()) // 4096), sum(n for k, n in counts.items() if k > 2048))
         assert sum(t for _, t in found) <= bound + 1
+    draw = random.Random(7)
+    for low, high, n in ((820, 2049, 500), (1100, 1699, 600), (1, 4096, 300), (500, 900, 400)):
+        for _ in range(5):
+            lengths = [draw.randint(low, high) for _ in range(n)]
+            counts = {k: lengths.count(k) for k in set(lengths)}
+            bins = []
+            for size in sorted(lengths, reverse=True):  # item by item
+                fit = min((b for b in bins if b >= size), default=None)
+                if fit is None:
+                    bins.append(4096 - size)
+                else:
+                    bins.remove(fit)
+                    bins.append(fit - size)
+            plain = packing.best_fit(counts, 4096)
+            used = {}
+            for held, times in plain:
+                for size in held:
+                    used[size] = used.get(size, 0) + times
+            assert used == counts and sum(t for _, t in plain) == len(bins)
+            assert sum(t for _, t in packing.fillings(counts, 4096)) <= len(bins)
+    assert packing.fillings({3: 4, 2: 4}, 5, None) == [([3, 2], 4)]
 
 
 def test_chunks_of_a_large_key_lose_no_link(spark):
@@ -152,6 +193,9 @@ def test_vectors_of_every_kind(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_join.near_duplicates(df).collect()), key=str)
     want = [(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (3, 4, 1, False), (12, 4, 1, False), (None, 0, None, False)]
     want += [(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 11, 13)]
+    longer = spark.createDataFrame([(20, [1.0, 2.0, 3.0], "x"), (21, [1.0], "x"), (22, [5.0], "x")], df.schema)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_duplicates(df.unionByName(longer)).collect()}
+    assert (found[9], found[20], found[21], found[22], found[1]) == ((1, 9), (1, 9), (1, 21), (1, 21), (4, 1))
     assert got == sorted(want, key=str)
     assert embedding_join.near_duplicates(empty(df)).count() == 0
 
@@ -205,6 +249,9 @@ def test_benchmark_in_blocks_finds_the_same(spark, data):
     one = decontamination.report(decontamination.search(docs, bench)).orderBy("doc_id").collect()
     many = decontamination.report(decontamination.search(docs, bench, shard_words=2000, block_words=200)).orderBy("doc_id").collect()
     assert one == many and any(r.contaminated for r in one)
+    clashing = docs.selectExpr("doc_id", "text", "1 AS copies", "map(1, 2) AS m")
+    again = decontamination.search(clashing.unionByName(clashing), bench, shard_words=2000, block_words=200)
+    assert again.count() == 2 * docs.count() and again.columns[:4] == clashing.columns
 
 
 def test_index_against_search_by_hand():
