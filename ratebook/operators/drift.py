@@ -14,7 +14,6 @@ from ratebook.operators.validation import CATEGORIES, NUMERIC, value_counts
 
 Z_LIMIT = 2.0
 TVD_LIMIT = 0.05
-HISTORY = 100
 
 
 def numeric_baseline(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
@@ -85,16 +84,6 @@ def degradation(history: DataFrame, order: str, max_mae: float | None = None, ma
     return newest.withColumn("reasons", reasons).withColumn("degraded", F.col("reasons") != "")
 
 
-def append_history(entries: DataFrame, path: str) -> None:
-    """Adds an evaluation's entries to the stored history."""
-    entries.write.mode("append").parquet(path)
-
-
-def newest(history: DataFrame, order: str, keep: int = HISTORY) -> DataFrame:
-    """The newest entries: a distributed top-n, never a window over the whole history."""
-    return history.orderBy(F.desc(order)).limit(keep)
-
-
 def request_metrics(log: DataFrame, window: int = 1000) -> DataFrame:
     """Totals over all requests and latency figures over the newest ones.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ratebook.functions.columns import rounded
-from ratebook.operators import drift
+from ratebook.operators import drift, history
 from ratebook.plans.registry import query
 from ratebook.plans.sql import with_ctes
 from ratebook.session import work_path
@@ -75,20 +75,20 @@ _DIG = {"mae": 4, "rmse": 4, "mape": 6, "r2": 6, "mean_pred": 4, "std_pred": 4}
 _SNAP_OUT = "batch, n, round(mae,4) AS mae, round(rmse,4) AS rmse, round(mape,6) AS mape, round(r2,6) AS r2, round(mean_pred,4) AS mean_pred, round(std_pred,4) AS std_pred"
 
 
-def history(spark, d):
+def performance(spark, d):
     return drift.snapshots(portfolio.scored(spark, d).withColumn("batch", F.col("policy_id") % 12), "batch", p="hybrid_pred")
 
 
 @query("l7_performance_snapshots", with_ctes(f", {_SNAP} SELECT {_SNAP_OUT} FROM sn"))
 def performance_snapshots(spark, d):
-    return rounded(history(spark, d), _DIG)
+    return rounded(performance(spark, d), _DIG)
 
 
 @query("l8_degradation", with_ctes(f""", {_SNAP}
 SELECT batch, round(mae,4) AS mae, round(rmse,4) AS rmse, round(r2,6) AS r2, concat_ws('|', CASE WHEN mae>1500 THEN 'mae' END, CASE WHEN rmse>9000 THEN 'rmse' END, CASE WHEN r2<0.95 THEN 'r2' END) AS reasons,
  mae>1500 OR rmse>9000 OR r2<0.95 AS degraded FROM sn WHERE batch=(SELECT max(batch) FROM sn)"""))
 def degradation(spark, d):
-    return rounded(drift.degradation(history(spark, d), "batch", 1500.0, 9000.0, 0.95), _DIG)
+    return rounded(drift.degradation(performance(spark, d), "batch", 1500.0, 9000.0, 0.95), _DIG)
 
 
 @query("l9_metric_history", with_ctes("""
@@ -96,15 +96,21 @@ def degradation(spark, d):
 o AS (SELECT *, strftime(day,'%Y-%m-%d')||event_type AS entry FROM hs)
 SELECT entry, n, round(mean,6) AS mean FROM o ORDER BY entry DESC LIMIT 100"""))
 def metric_history(spark, d):
-    """Daily request snapshots appended over time; the newest hundred are kept."""
+    """Daily request snapshots, written by two evaluations of which one runs twice, then compacted; the newest hundred."""
     log = portfolio.request_log(spark, d)
     daily = log.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.avg("latency").alias("mean"))
     entries = daily.select(F.concat(F.date_format("day", "yyyy-MM-dd"), "event_type").alias("entry"), "n", "mean")
+    odd = F.dayofmonth(F.to_date(F.substring("entry", 1, 10))) % 2 == 1
+    entries = entries.withColumns({"period": F.substring("entry", 1, 7), "evaluation": F.when(odd, "odd days").otherwise("even days")})
+    schema = "entry string, n long, mean double, period string, evaluation string"
     path = work_path(spark, "metric-history")
-    for odd in (False, True):  # two evaluations, of every other day each
-        drift.append_history(entries.where((F.dayofmonth(F.to_date(F.substring("entry", 1, 10))) % 2 == 1) == F.lit(odd)), path)
-    return rounded(drift.newest(spark.read.schema(entries.schema).parquet(path), "entry"), 6)
+    for part in (~odd, odd, ~odd):  # the first evaluation is retried
+        history.upsert(entries.where(part), path)
+    last = entries.agg(F.max("period")).first()[0]
+    if last:
+        history.compact(spark, path, schema, last)
+    return rounded(history.newest(spark, path, schema, "entry").select("entry", "n", "mean"), 6)
 
 
 @query("l11_request_metrics", with_ctes("""

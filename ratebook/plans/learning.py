@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ratebook.config import KEY
 from ratebook.functions import moments as m
 from ratebook.functions.columns import rounded
-from ratebook.operators import forest, intervals, learners, models, pricing, quantile_models as qm, splits
+from ratebook.operators import ensembles, fold_sums, forest, intervals, learners, models, pricing, quantile_models as qm, splits
 from ratebook.plans.registry import query
+from ratebook.plans.splits import bins, h
 from ratebook.plans.sql import with_ctes
 from ratebook.sources import portfolio
 
@@ -112,6 +113,49 @@ def conformal_quantiles(spark, d):
     return rounded(out, {"empirical": 6, "gap": 6, "mean_width": 4, "median_width": 4})
 
 
+@query("f3_staged_loss")
+def staged_loss(spark, d):
+    """Loss of every prefix of the boosted trees on validation and test rows, and the round that patience keeps."""
+    df = parted(spark, d)
+    fit = ensembles.StoppedTrees.fit(df.where("split = 'train'"), df.where("split = 'val'"), patience=5, maxIter=20)
+    losses = ensembles.staged_losses(fit.model, df.where("split <> 'train'"), by=["split"])
+    return rounded(losses.withColumn("kept", F.col("round") == fit.rounds), 4)
+
+
+@query("f2_out_of_bag")
+def out_of_bag(spark, d):
+    """A forest judged by the trees that have not seen a row, on the rows it was grown on."""
+    df = table(spark, d)
+    return rounded(ensembles.BaggedForest.fit(df, trees=10).score(df), 4)
+
+
+_ALL_FOLDS = f"""st AS (SELECT policy_id, age, charges, {bins((0.2, 0.4, 0.6, 0.8))} AS stratum FROM policies),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {h(42)}) AS r, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (ORDER BY {h(7)}) AS place, count(*) OVER () AS rows FROM st),
+f AS (SELECT age, charges, place, rows, CAST(r>n//5 AS INT)+CAST(r>2*n//5 AS INT)+CAST(r>3*n//5 AS INT)+CAST(r>4*n//5 AS INT) AS fold FROM r),
+g AS (SELECT unnest([0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) AS fraction),
+k AS (SELECT DISTINCT fold AS k FROM f),
+t AS (SELECT fraction, k, count(*) AS n_train, regr_slope(charges,age) AS b, regr_intercept(charges,age) AS a FROM g, k, f WHERE fold<>k AND place<=greatest(1,CAST(floor(rows*fraction) AS BIGINT)) GROUP BY ALL)"""
+
+
+@query("f20_fold_sums", with_ctes(f""", {_ALL_FOLDS},
+v AS (SELECT t.fraction, t.k AS fold, n_train, count(*) AS n_val, sqrt(avg((charges-a-b*age)*(charges-a-b*age))) AS val_rmse FROM t JOIN f ON f.fold=t.k GROUP BY ALL),
+w AS (SELECT t.fraction, t.k AS fold, sqrt(avg((charges-a-b*age)*(charges-a-b*age))) AS train_rmse FROM t JOIN f ON f.fold<>t.k AND place<=greatest(1,CAST(floor(rows*t.fraction) AS BIGINT)) GROUP BY ALL)
+SELECT v.fraction, CAST(v.fold AS INT) AS fold, n_train, n_val, round(train_rmse,4) AS train_rmse, round(val_rmse,4) AS val_rmse FROM v JOIN w ON w.fraction=v.fraction AND w.fold=v.fold"""))
+def fold_sums_curve(spark, d):
+    """Learning curve of a line through one input, all folds and shares from one scan."""
+    p = splits.folds(portfolio.policies(spark, d), "charges", 5)
+    out = fold_sums.fold_scores(p, ["age"], "charges", fractions=[i / 10 for i in range(1, 11)])
+    return rounded(out.drop("l1", "l2"), {"train_rmse": 4, "val_rmse": 4})
+
+
+@query("f8_penalties")
+def penalties(spark, d):
+    """Cross-validated error of ridge and lasso at several strengths, every one from the same sums."""
+    df = learners.learning_table(splits.folds(portfolio.policies(spark, d), "charges", 5), keep=["fold"])
+    grid = [(0.0, 0.0), *[(0.0, v) for v in (0.01, 0.1, 1.0)], *[(v, 0.0) for v in (10.0, 100.0, 1000.0)]]
+    return rounded(fold_sums.curve(fold_sums.fold_scores(df, learners.INPUTS, penalties=grid)), 2)
+
+
 @query("f6_grid_search")
 def grid_search(spark, d):
     return rounded(learners.grid_search(folded(spark, d), "boosted", {"maxDepth": [2, 4], "maxIter": [5, 10]}, folds=5), 4)
