@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, and pieces by brute force."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -226,6 +227,54 @@ def test_pages_of_every_kind(spark):
     assert html_text.extract(empty(df)).count() == 0
 
 
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    for page, want in (("x" + "<a " * 20_000, "x"), ("<div>" * 20_000 + "deep " * 40_000, ("deep " * 40_000).strip()),
+                       ("<b>y " * 20_000 + "</i>" * 20_000, ("y " * 20_000).strip()), ("<p>z</div>" * 20_000, ("z " * 20_000).strip()),
+                       ('<a t="' * 20_001 + ">q", "q"), ("<!--" * 20_000, "")):
+        began = time.perf_counter()
+        assert html_text.parse(page)[0] == want
+        assert time.perf_counter() - began < 2
+    assert html_text.parse("<p title=don't>keep me</p><p class='x'>and me</p>1 < 2 <3")[0] == "keep me and me 1 < 2 <3"
+    assert html_text.parse("<article><div class='social-history'>a</div><p id='related-work'>b</p><div class='share'>c</div></article>")[0] == "a b"
+
+
+def test_templates_are_learned_without_markup(spark):
+    """Menus, notices and footers of unmarked elements, some with other words on every page, and articles in a plain block."""
+    draw = random.Random(8)
+    words = lambda n: " ".join(draw.choice("abcdefghij") * draw.randint(2, 7) for _ in range(n))
+    rows, want = [], {}
+    for i in range(120):
+        host = "http://a.org" if i % 3 else "http://b.net"
+        body = [words(draw.randint(30, 60)) for _ in range(draw.randint(1, 4))]
+        title = words(4)
+        story = f"<h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+        rows.append((i, f"{host}/{i}", f"<body><div id=top><ul><li>Home<li>{words(1)}</ul></div><div class=wrap><div class=story>{story}</div>"
+                                       f"<div class=hint>{words(5)}</div></div><div>All rights reserved</div></body>"))
+        want[i] = " ".join([title, *body])
+    rows += [(500, "http://few.com/x", "<body><div id=top>Home</div><div class=wrap>rare</div></body>")]
+    rows += [(600 + i, f"http://copies.com/{i}", "<body><div class=story><h1>Same</h1><p>The same article, sixty times over.</p></div></body>") for i in range(60)]
+    plain = [(700 + i, f"http://plain.com/{i}", f"<body><h1>{words(3)}</h1>" + "".join(f"<div class=sec>{words(30)}</div>" for _ in range(6)) + "</body>") for i in range(30)]
+    rows += plain
+    want |= {i: " ".join(re.sub("<[^>]*>", " ", page).split()) for i, _, page in plain}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for markup in (True, False):
+        got = {r.page_id: r.text for r in html_text.extract(df, markup=markup).collect()}
+        assert {i: got[i] for i in want} == want
+        assert got[500] == "Home rare" and got[600] == "Same The same article, sixty times over."
+
+
+def test_articles_found_by_templates_alone(spark, data):
+    pages = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/pages.parquet")
+    marked, learned = ({r.page_id: r for r in html_text.extract(pages, markup=m).collect()} for m in (True, False))
+    hosts = {}
+    for r in marked.values():
+        hosts.setdefault(r.url.split("/")[2].lower(), []).append(r.page_id)
+    ids = [i for v in hosts.values() if len(v) >= 20 for i in v]
+    assert len(ids) > 1500 and all(learned[i].text == marked[i].text for i in ids)
+
+
 def test_archives_of_every_kind(spark, tmp_path):
     bodies = ["", None, "x", "x", "a\r\n\r\nb", "end\r\n", "end\r\n\r\n", "\r\n\r\n\r\n", "é" * 50_000, "WARC/1.1\r\n\r\n"]
     rows = [(i, f"http://www.a.com:80/{i % 3}?q", b) for i, b in enumerate(bodies)] + [(None, None, "x"), (3, "http://b.com", "x")]
