@@ -102,8 +102,8 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 3, round
 
     Document frequencies come from every row. The centroids of a language come from about ``per_language`` of
     its texts (the bound; chosen by a hash of the text, so equal texts go together), in one task a language.
-    The rejection floor of a length band is ``slack`` times the smallest best cosine of all sampled texts of
-    that band or a shorter one. Only sums, centroids and floors reach the driver.
+    The rejection floor of a length band is ``slack`` times the smallest best cosine of all its sampled texts. Of
+    centroids at the same cosine the first by language wins. Only sums, centroids and floors reach the driver.
     """
     bounded_batches(labelled)
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
@@ -155,9 +155,11 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 3, round
     floors = np.full(BANDS, np.inf)
     for r in sample.select("v", "band").mapInPandas(nearest, "band int, best double").groupBy("band").agg(F.min("best").alias("best")).collect():
         floors[r["band"]] = r["best"]
-    floors = np.minimum.accumulate(floors)
-    # A text shorter than any that taught isn't rejected.
-    return Model(idf, c, [lang for lang, _ in found], slack * np.where(np.isinf(floors), 0, floors))
+    # A band that nothing taught takes the floor of the next shorter one; texts shorter than any aren't rejected.
+    last = 0.0
+    for k in range(BANDS):
+        last = floors[k] = last if np.isinf(floors[k]) else floors[k]
+    return Model(idf, c, [lang for lang, _ in found], slack * floors)
 
 
 def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, and pieces by brute force."""
 
+import base64
 import random
 import re
 
@@ -275,6 +276,19 @@ def test_articles_found_by_templates_alone(spark, data):
     assert len(ids) > 1500 and all(learned[i].text == marked[i].text for i in ids)
 
 
+def test_other_languages_and_no_languages_are_rejected(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    held_out = language_id.is_held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~held_out))
+    apart = language_id.predict(docs.where(held_out & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]")), model)
+    assert apart.where("rejected").count() == 0 and apart.count() > 200
+    draw = random.Random(0)
+    odd = [base64.b64encode(draw.randbytes(375)).decode(), "Быстрая коричневая лиса прыгает через ленивую собаку и убегает в лес. " * 8,
+           "今天天气很好我们一起去公园散步吧" * 35, "def f(x):\n    return [i ** 2 for i in range(x) if i % 3 == 0]\n\nclass A(object):\n    pass\n" * 6,
+           "Det var en gång en gammal man som bodde i ett litet hus vid skogen och han hade en katt som hette Måns. " * 5]
+    assert all(model.predict(t)[2] for t in odd) and min(map(len, odd)) >= 500
+
+
 def test_archives_of_every_kind(spark, tmp_path):
     bodies = ["", None, "x", "x", "a\r\n\r\nb", "end\r\n", "end\r\n\r\n", "\r\n\r\n\r\n", "é" * 50_000, "WARC/1.1\r\n\r\n"]
     rows = [(i, f"http://www.a.com:80/{i % 3}?q", b) for i, b in enumerate(bodies)] + [(None, None, "x"), (3, "http://b.com", "x")]
