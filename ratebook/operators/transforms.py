@@ -9,14 +9,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratebook.functions import targets
 from ratebook.functions.columns import clip, col, lookup
 from ratebook.operators.quantiles import column_quantiles, kept, quantiles
+from ratebook.operators.sums import grams
 
 NUMERIC_KINDS = ("int", "bigint", "double", "float", "smallint", "tinyint")
 RAW_NUMERIC = ("age", "bmi", "children")
@@ -222,33 +221,33 @@ class Products:
         return df.withColumns({self.name(p): F.col(p[0]).cast("double") * F.col(p[1]) for p in self.pairs})
 
 
-def moments_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(correlation, mean, population deviation, n) of many columns.
+def moments_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(correlation, mean, population deviation, known rows) of many columns; null and NaN are unknown.
 
-    Spark ML adds up the k x k products in the tasks; only the matrix comes back. Columns have to be
-    imputed: a null or NaN is an error, as dropping its row would change the other columns' pairs.
+    A correlation is over the rows where both columns are known, undefined without variation. One pass finds mean and
+    deviation, a second adds up the products of the standardised columns, of their squares and of which are known.
     """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="error").transform(df).select("v")
-    corr = Correlation.corr(vectors, "v").first()[0].toArray()
-    s = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first()["s"]
-    n = int(s["count"])
-    variance = np.asarray(s["variance"].toArray()) * (n - 1) / max(n, 1)
-    return corr, np.asarray(s["mean"].toArray()), np.sqrt(variance), n
-
-
-#: Correlations added up in one pass over the table; each keeps six numbers a task.
-PAIRS_PER_PASS = 200
+    known = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
+    stats = aggregate(known, {(c, k): f(c) for c in columns for k, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_pop))})
+    n, mean, std = (np.array([stats[c, k] if stats[c, k] is not None else np.nan for c in columns], float) for k in ("n", "mean", "std"))
+    unit = [(F.col(c) - F.lit(float(m))) / F.lit(float(s) if s > 0 else 1.0) for c, m, s in zip(columns, mean, std)]
+    z = [F.coalesce(u, F.lit(0.0)) for u in unit]
+    there = [F.col(c).isNotNull().cast("double") for c in columns]
+    k = len(columns)
+    g = grams(known, [*z, *there, *[v * v for v in z]]).get((), np.zeros((3 * k, 3 * k)))
+    both, one, two, products = g[k:2 * k, k:2 * k], g[:k, k:2 * k], g[2 * k:, k:2 * k], g[:k, :k]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        centre = one / both  # the mean of the line's column where the other one is known
+        spread = two / both - centre**2
+        spread[spread <= 1e-14] = np.nan
+        corr = (products / both - centre * centre.T) / np.sqrt(spread * spread.T)
+    return np.clip(corr, -1, 1), mean, std, n
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All pairwise correlations as rows (a, b, correlation), each over the rows where both are known."""
-    known = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
-    pairs = list(combinations(columns, 2))
-    rows = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[at:at + PAIRS_PER_PASS]
-        got = known.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part))).first()
-        rows += [(a, b, None if r is None or math.isnan(r) else float(r)) for (a, b), r in zip(part, got)]
+    corr = moments_matrix(df, columns)[0]
+    rows = [(columns[i], columns[j], None if math.isnan(corr[i, j]) else float(corr[i, j])) for i, j in combinations(range(len(columns)), 2)]
     return df.sparkSession.createDataFrame(rows, "a string, b string, correlation double")
 
 
@@ -295,7 +294,8 @@ class CollinearityFilter:
         columns = [c for c in columns if c not in first]
         with_target = [*columns, *([target] if target else [])]
         corr, mean, std, _ = moments_matrix(df, with_target)
-        corr = np.nan_to_num(corr)
+        corr, mean, std = np.nan_to_num(corr), np.nan_to_num(mean), np.nan_to_num(std)
+        np.fill_diagonal(corr, 1.0)
         k = len(columns)
         pruned = correlated_drops(columns, corr[:k, :k], corr[:k, k] if target else None, std[:k] ** 2, threshold)
         many = distinct_over_two(df, columns)

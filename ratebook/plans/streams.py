@@ -24,8 +24,8 @@ SELECT strftime(w.window_start,'%Y-%m-%d') AS day, n, round(new_mean,6) AS new_m
  abs(new_mean-mu)/(sd/sqrt(n)+1e-10)>2.0 AS mean_drifted, tvd>0.05 AS mix_drifted FROM w JOIN g ON g.window_start=w.window_start, b"""))
 def stream_drift(spark, d):
     baseline = monitors.event_baseline(portfolio.table(spark, d, "events"))
-    stream = monitors.windowed_drift(monitors.stream_table(spark, d, "events"), baseline)
-    out = monitors.drained(stream, "drift")
+    counts = monitors.drained(monitors.windowed_counts(monitors.stream_table(spark, d, "events")), "drift", "window_start", "event_type")
+    out = monitors.drift_figures(counts, baseline)
     return rounded(out.withColumn("day", monitors.utc_day("window_start")).drop("window_start"), 6)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.operators.drift import TVD_LIMIT, Z_LIMIT
+from ratebook.operators.splits import stored
 from ratebook.session import work_path
 
 
@@ -38,37 +39,37 @@ def utc_day(instant) -> Column:
     return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd")
 
 
-#: Event types a drift monitor counts one by one.
-MOST_KINDS = 1_000
+def event_baseline(events: DataFrame) -> dict:
+    """Mean and sample deviation of a reference period, and its category shares as a table (event_type, share), of any
+    number of categories; null is one of its own."""
+    row = events.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n")).first()
+    shares = events.groupBy("event_type").agg((F.count(F.lit(1)) / F.lit(max(1, row["n"]))).alias("share"))
+    return {"mean": row["mean"], "std": row["std"], "shares": stored(shares, "shares")}
 
 
-def event_baseline(events: DataFrame) -> dict:
-    """Mean, sample deviation and category shares of a reference period; null is a category of its own.
+def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Counts and sums per window and category: all the state that a drift monitor needs, a row for each."""
+    counts = timed(events).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(
+        F.count("value").alias("n"), F.sum("value").alias("total"), F.count(F.lit(1)).alias("rows"))
+    return counts.select(F.col("w.start").alias("window_start"), "event_type", "n", "total", "rows")
 
-    Every window keeps a count per category, so more than MOST_KINDS of them are an error.
+
+def drift_figures(counts: DataFrame, baseline: dict) -> DataFrame:
+    """z of the mean and total variation of the categories, per window, from its counts.
+
+    A category that the window lacks differs by its whole share, so what the present ones leave of the baseline is
+    added at once.
     """
-    row = events.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n")).first()
-    rows = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).limit(MOST_KINDS + 1).collect()
-    if len(rows) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} event types")
-    kinds = {r["event_type"]: r["n"] for r in sorted(rows, key=lambda r: (r["event_type"] is None, r["event_type"]))}
-    return {"mean": row["mean"], "std": row["std"], "shares": {k: v / row["n"] for k, v in kinds.items()}}
-
-
-def windowed_drift(events: DataFrame, baseline: dict, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """z of the mean and total variation of the categories, per window, from additive state only."""
-    shares = baseline["shares"]
-    counts = timed(events).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(
-        F.count("value").alias("n"), F.avg("value").alias("new_mean"), F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(F.col("event_type").eqNullSafe(F.lit(k))).alias(f"n_{i}") for i, k in enumerate(shares)])
-    known = sum((F.col(f"n_{i}") for i in range(len(shares))), F.lit(0))
-    gap = F.abs(F.lit(0.0))
-    for i, share in enumerate(shares.values()):
-        gap = gap + F.abs(F.col(f"n_{i}") / F.col("rows") - F.lit(share))
-    gap = gap + (F.col("rows") - known) / F.col("rows")  # categories the baseline has never seen
-    z = F.abs(F.col("new_mean") - F.lit(baseline["mean"])) / (F.lit(baseline["std"]) / F.sqrt(F.col("n").cast("double")) + 1e-10)
-    return counts.select(
-        F.col("w.start").alias("window_start"), "n", "new_mean", F.when(F.col("n") >= 2, z).alias("z"), (gap * 0.5).alias("tvd"),
+    sizes = counts.groupBy("window_start").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("rows").alias("all"))
+    shares = baseline["shares"].withColumnRenamed("event_type", "_type")
+    known = counts.join(shares, F.col("event_type").eqNullSafe(F.col("_type")), "left").join(sizes.select("window_start", "all"), "window_start")
+    share = F.coalesce("share", F.lit(0.0))
+    gaps = known.groupBy("window_start").agg(
+        ((F.sum(F.abs(F.col("rows") / F.col("all") - share)) + 1.0 - F.sum(share)) * 0.5).alias("tvd"))
+    mean = F.col("total") / F.col("n")
+    z = F.abs(mean - F.lit(baseline["mean"])) / (F.lit(baseline["std"]) / F.sqrt(F.col("n").cast("double")) + 1e-10)
+    return sizes.join(gaps, "window_start").select(
+        "window_start", "n", F.try_divide("total", "n").alias("new_mean"), F.when(F.col("n") >= 2, z).alias("z"), "tvd",
     ).withColumns({"mean_drifted": F.coalesce(F.col("z") > Z_LIMIT, F.lit(False)), "mix_drifted": F.col("tvd") > TVD_LIMIT})
 
 
@@ -83,8 +84,8 @@ def windowed_requests(log: DataFrame, window: str = "1 day", late: str = "1 hour
              (F.try_divide("errors", "total") * 100.0).alias("error_pct"), "mean", "p50", "p95", "p99")
 
 
-def drained(stream: DataFrame, name: str, key: str = "window_start") -> DataFrame:
-    """Run a windowed stream over all input there is and return the last update of every window."""
+def drained(stream: DataFrame, name: str, *key: str) -> DataFrame:
+    """Run a windowed stream over all input there is and return the last update of every window (or other key)."""
     spark = stream.sparkSession
     root = work_path(spark, name)
 
@@ -97,5 +98,5 @@ def drained(stream: DataFrame, name: str, key: str = "window_start") -> DataFram
     job.awaitTermination()
     updates = spark.read.parquet(os.path.join(root, "updates"))
     columns = [c for c in updates.columns if c != "batch"]
-    latest = updates.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r"))
+    latest = updates.groupBy(*(key or ["window_start"])).agg(F.max_by(F.struct(*columns), "batch").alias("r"))
     return latest.select("r.*")
