@@ -234,8 +234,13 @@ def moments_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, n
     z = [F.coalesce(u, F.lit(0.0)) for u in unit]
     there = [F.col(c).isNotNull().cast("double") for c in columns]
     k = len(columns)
-    g = grams(known, [*z, *there, *[v * v for v in z]]).get((), np.zeros((3 * k, 3 * k)))
-    both, one, two, products = g[k:2 * k, k:2 * k], g[:k, k:2 * k], g[2 * k:, k:2 * k], g[:k, :k]
+    if len(set(n)) == 1 and n[0] == known.count():  # nothing is unknown: one column of ones stands for all
+        g = grams(known, [*z, F.lit(1.0)]).get((), np.zeros((k + 1, k + 1)))
+        both, one = np.full((k, k), g[k, k]), np.repeat(g[:k, k:], k, axis=1)
+        two, products = np.repeat(np.diag(g)[:k, None], k, axis=1), g[:k, :k]
+    else:
+        g = grams(known, [*z, *there, *[v * v for v in z]]).get((), np.zeros((3 * k, 3 * k)))
+        both, one, two, products = g[k:2 * k, k:2 * k], g[:k, k:2 * k], g[2 * k:, k:2 * k], g[:k, :k]
     with np.errstate(divide="ignore", invalid="ignore"):
         centre = one / both  # the mean of the line's column where the other one is known
         spread = two / both - centre**2

@@ -217,3 +217,15 @@ def feature_pipeline(spark, d):
     p = portfolio.policies(spark, d)
     fit = pipeline.FeaturePipeline.fit(p)
     return rounded(fit.transform(p), 6)
+
+
+@query("d17_whole_pipeline")
+def whole_pipeline(spark, d):
+    """With outliers left out of the fit and products of the continuous columns; which columns come out, and their scale."""
+    p = portfolio.policies(spark, d)
+    fit = pipeline.FeaturePipeline.fit(p, products=True, outliers=0.02)
+    z = fit.transform(p)
+    columns = list(fit.columns)
+    stats = t.aggregate(z, {(c, k): f(c) for c in columns for k, f in (("mean", F.avg), ("std", F.stddev_pop))})
+    rows = [(c, i, stats[c, "mean"], stats[c, "std"]) for i, c in enumerate(columns)]
+    return rounded(spark.createDataFrame(rows, "feature string, position int, mean double, std double"), 6)

@@ -88,6 +88,7 @@ def test_pipeline_replays_after_json(spark, data):
     fit = pipeline.FeaturePipeline.fit(df, products=True)
     again = pipeline.FeaturePipeline.from_json(fit.to_json())
     assert again == fit
+    assert len(fit.products.pairs) == 50 and "bmi" in {c for p in fit.products.pairs for c in p}
     out = again.transform(df)
     assert out.columns == ["policy_id", *fit.columns, "target_z"] and out.count() == df.count()
     odd = df.limit(1).withColumn("region", F.lit("mars")).drop("charges")
@@ -122,3 +123,13 @@ def test_replay_fails_when_ids_vanish(policy_frame):
     held = policy_frame({"policy_id": 1}, {"policy_id": 7})
     with pytest.raises(ValueError, match="7"):
         splits.replay_strict(policy_frame({"policy_id": 1}), held)
+
+
+def test_pipeline_leaves_odd_rows_out_of_its_fit_only(spark, policy_frame):
+    rows = [dict(age=20 + i % 45, bmi=20.0 + (i * 7) % 150 / 10, children=i % 4, smoker="yes" if i % 5 == 0 else "no",
+                 region=["northeast", "southwest"][i % 2], charges=2000.0 + 100 * (i % 45) + 3000 * (i % 5 == 0)) for i in range(300)]
+    df = policy_frame(*rows, dict(age=64, bmi=60.0, children=5, smoker="yes", charges=900_000.0))
+    robust = pipeline.FeaturePipeline.fit(df, method="none", outliers=0.01)
+    assert robust.target.safe_max < 20_000  # the far row no longer sets the scale
+    assert robust.transform(df).count() == 301
+    assert pipeline.FeaturePipeline.from_json(robust.to_json()) == robust
