@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ratebook.llm.common import bounded_batches, stored
@@ -51,27 +53,32 @@ def parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, i
     """
     weak = []
     if ":" in text or "=" in text:
-        weak = [m.span() for m in _WEAK.finditer(text)]
-        weak = [(a, b) for a, b in weak if not any(a < e and s < b for k, s, e in base if k == "assign")]
+        assigned = [(s, e) for k, s, e in base if k == "assign"]  # ascending and apart, so the last that starts before b decides
+        starts = [s for s, _ in assigned]
+        for a, b in (m.span() for m in _WEAK.finditer(text)):
+            i = bisect_left(starts, b)
+            if not i or assigned[i - 1][1] <= a:
+                weak.append((a, b))
     if not weak:
         return []
     breaks = [m.start() for m in _SCOPE.finditer(text)]
-    scope = lambda at: sum(b < at for b in breaks)
     rows = [("weak", *s) for s in weak] + [("identifier", s, e) for k, s, e in base if k == "access"]
     rows += [("identifier", *m.span()) for m in _IDENTIFIER.finditer(text)]
     rows += [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
-    return [(role, scope(a), a, b) for role, a, b in rows]
+    return [(role, bisect_left(breaks, a), a, b) for role, a, b in rows]
 
 
 def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_weak) of every row.
 
     Null texts are empty; repeated rows are scanned each and get equal results; extra columns aren't read.
-    ``reach`` is the most code points between a weak candidate and its complement.
+    ``reach`` is the most code points between a weak candidate and its complement. Rows are told apart by a number
+    given while they are scanned and stored with their parts: task and place, so no two rows share one.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.list_(pa.struct([("role", pa.string()), ("scope", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
             for t in batch.column(1):
@@ -84,14 +91,16 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), part)
             names = ("n_assign", "n_access", "n_hex", "base_sha256", "base", "parts")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds))],
+            numbers = pa.array(range(row, row + len(out)), pa.int64())
+            row += len(out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), numbers, *(pa.array(c, k) for c, k in zip(cols, kinds))],
                                              ["doc_id", "row", *names])
 
     bounded_batches(docs)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = stored(rows.mapInArrow(found, "doc_id long, row long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, "
                                   "parts array<struct<role: string, scope: long, start: long, end: long>>"), "secret-parts")
-    each = rows.select("row", F.explode("parts").alias("p")).distinct().select("row", "p.*")
+    each = rows.select("row", F.explode("parts").alias("p")).select("row", "p.*")
     stretch = lambda c: F.floor(c / reach)
     weak = each.where("role = 'weak'").select("row", "scope", F.col("start").alias("a"), F.col("end").alias("b")).withColumn(
         "at", F.explode(F.sequence(stretch(F.col("a") - reach), stretch(F.col("b") + reach))))
