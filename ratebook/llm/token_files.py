@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +86,21 @@ class EliasFano:
         at = byte * 8 + (word & -word).bit_length() - 1
         return (at - i << self.low_bits) | self._low(i)
 
-    def values(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-        return ((at - np.arange(self.n)) << self.low_bits) + low
+    def select_group(self, g: int) -> np.ndarray:
+        """The values from sample g to the next, in one read of the bytes between them; their low bits fill whole bytes."""
+        first, last = g * SAMPLE, min((g + 1) * SAMPLE, self.n)
+        byte = int(self.samples[g]) >> 3
+        end = (int(self.samples[g + 1]) >> 3) + 1 if g + 1 < len(self.samples) else len(self.high)
+        skip = int(self.samples[g]) & 7
+        at = byte * 8 + skip + np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little")[skip:])[:last - first]
+        low = self.low[first * self.low_bits // 8:(last * self.low_bits + 7) // 8]
+        bits = np.unpackbits(low, bitorder="little")[:(last - first) * self.low_bits].reshape(last - first, self.low_bits)
+        return ((at - np.arange(first, last)) << self.low_bits) + bits @ (1 << np.arange(self.low_bits))
+
+    def __iter__(self) -> Iterator[int]:
+        """All values in order, one sample's group of them at a time: no table of the whole sequence is made."""
+        for g in range(len(self.samples)):
+            yield from self.select_group(g).tolist()
 
 
 def pack_block(doc_ids: list[int | None], ids: list[bytes], kind: np.dtype) -> bytes:
@@ -102,14 +113,15 @@ def pack_block(doc_ids: list[int | None], ids: list[bytes], kind: np.dtype) -> b
     return head + EliasFano.of(starts).dump() + EliasFano.of(known - base).dump() + b"".join(ids)
 
 
-def unpack_block(blob: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """Document ids, their boundaries (one more than documents) and the ids of a record."""
+def unpack_block(blob: bytes) -> tuple[Iterator[int | None], EliasFano, np.ndarray]:
+    """Document ids as they are read, their boundaries (one more than documents) and the ids of a record."""
     magic, version, width, docs, nulls, n, base = _HEAD.unpack_from(blob)
     if (magic, version) != (MAGIC, 1):
         raise ValueError("not a token block")
     bounds, at = EliasFano.load(memoryview(blob), _HEAD.size)
     known, at = EliasFano.load(memoryview(blob), at)
-    return [None] * nulls + (known.values() + base).tolist(), bounds, np.frombuffer(blob, f"<u{width}", n, at)
+    doc_ids = chain(repeat(None, nulls), (base + i for i in known))
+    return doc_ids, bounds, np.frombuffer(blob, f"<u{width}", n, at)
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, block_ids: int = 1 << 18, path: str | None = None) -> str:
@@ -152,7 +164,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, block_ids:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of the files, start counted over all of them.
 
-    Offsets within a block come from its Elias-Fano boundaries. What lies before a block is a sum over the
+    Offsets within a block and its document ids are selected from their Elias-Fano sequences as the ids are read,
+    64 at a time; ids are widened a document at a time. What lies before a block is a sum over the
     block heads: per part first, and over the parts' sums next, one row a part.
     """
     blocks = spark.read.parquet(path)
@@ -161,14 +174,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, record in zip(*(batch.column(i) for i in range(3))):
                 doc_ids, bounds, ids = unpack_block(record.as_py())
-                at = bounds.values()
-                wide = memoryview(ids.astype("<u4").tobytes())
-                n = len(doc_ids)
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part.as_py()] * n, pa.int32()), "seq": pa.array([seq.as_py()] * n, pa.int64()),
-                    "doc_id": pa.array(doc_ids, pa.int64()), "local": pa.array(at[:-1], pa.int64()),
-                    "n_tokens": pa.array(np.diff(at), pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(wide[4 * a:4 * b]) for a, b in zip(at[:-1], at[1:])], pa.int64())})
+                rows = ((d, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())) for d, (a, b) in zip(doc_ids, pairwise(bounds)))
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part.as_py()] * len(some), pa.int32()), pa.array([seq.as_py()] * len(some), pa.int64()),
+                         *(pa.array(c, pa.int64()) for c in zip(*some))], ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     docs = blocks.select("part", "seq", "record").mapInArrow(
         documents, "part int, seq long, doc_id long, local long, n_tokens long, ids_crc32 long")
