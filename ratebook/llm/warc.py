@@ -3,7 +3,7 @@
 Records are written through Spark's text sink: the four bytes that end a WARC record are its line separator,
 so the files are plain (or gzipped) WARC. Reading takes them up again piece by piece by their Content-Length.
 The captures of each archive file give sorted runs; runs are dealt by ranges of (URL key, timestamp) and every
-range is merged by a loser tree, so the partitions in sequence are one globally ordered index.
+range is merged by a loser tree, block by block, so the partitions in sequence are one globally ordered index.
 """
 
 from __future__ import annotations
@@ -12,9 +12,13 @@ import base64
 import hashlib
 import re
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import chain, islice
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -141,22 +145,29 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", _END).schema("value string").text(path).mapInArrow(captures, _ROW)
 
 
-def loser_tree(runs: list[list], key) -> Iterator:
-    """Merges sorted lists: inner nodes keep the loser of their match, so a step replays one path of the tree."""
-    k = len(runs)
-    places = [0] * k
-    # A key of (1,) is above every (0, key): an exhausted run loses always.
-    keys = [(0, key(run[0]), i) if run else (1,) for i, run in enumerate(runs)]
+def loser_tree(runs: list[Iterator], key) -> Iterator:
+    """Merges sorted runs, each an iterator: inner nodes keep the loser of their match, so a step replays one path of
+    the tree. A run is asked for its next item only after the one before was taken; of equal keys the earlier run's comes first."""
+    k, end = len(runs), object()
+    runs = [iter(run) for run in runs]
+    heads: list = [None] * k
+    keys: list[tuple] = [()] * k
+
+    def advance(i: int) -> None:
+        # A key of (1,) is above every (0, key): an exhausted run loses always.
+        heads[i] = item = next(runs[i], end)
+        keys[i] = (1,) if item is end else (0, key(item), i)
+
+    for i in range(k):
+        advance(i)
     losers, winners = [0] * k, [0] * k + list(range(k))
     for node in range(k - 1, 0, -1):
         a, b = winners[2 * node], winners[2 * node + 1]
         winners[node], losers[node] = (a, b) if keys[a] <= keys[b] else (b, a)
     best = winners[1] if k > 1 else 0
     while k and keys[best] != (1,):
-        run = runs[best]
-        yield run[places[best]]
-        places[best] += 1
-        keys[best] = (0, key(run[places[best]]), best) if places[best] < len(run) else (1,)
+        yield heads[best]
+        advance(best)
         node = (best + k) // 2
         while node:
             if keys[losers[node]] < keys[best]:
@@ -164,54 +175,119 @@ def loser_tree(runs: list[list], key) -> Iterator:
             node //= 2
 
 
-def _order(urlkey: str, timestamp: str, page_id: int | None) -> tuple:
-    return urlkey.encode(), timestamp, page_id is not None, page_id or 0
+def _order(urlkey: str | None, timestamp: str | None, page_id: int | None) -> tuple:
+    """Spark's order of the three columns: nulls first, texts by their bytes."""
+    return urlkey is not None, (urlkey or "").encode(), timestamp is not None, (timestamp or "").encode(), page_id is not None, page_id or 0
+
+
+_KEY = ("urlkey", "timestamp", "page_id")
 
 
-def histories(captures: DataFrame, run_rows: int = 20_000) -> DataFrame:
+class _Feed:
+    """The runs of a range as iterators over one stream of their rows, which comes in the order of need.
+
+    A row's need is the last row of the block before its own in its run: its block is wanted when that row has left.
+    A run whose rows in hand are used up reads on only as far as needs up to its last row go, so what waits in hand
+    is about a block a run, however long the range is. Keys end in run and place, so no two are equal.
+    """
+
+    def __init__(self, stream: Iterator[tuple]):
+        """``stream`` gives (run, key, need, row) by need; the need of a run's first block is None."""
+        self.stream, self.next = stream, next(stream, None)
+        self.waiting: dict[int, deque] = {}
+        self.held = self.most_held = 0
+        least = None  # a run that begins in an earlier range needs a row below all of this one
+        while self.next is not None and (self.next[2] is None or least is None or self.next[2] < least):
+            least = self.next[1] if least is None else min(least, self.next[1])
+            self.waiting.setdefault(self.next[0], deque())
+            self._take()
+        self.runs = [self._run(rows) for _, rows in sorted(self.waiting.items())]
+
+    def _take(self) -> None:
+        run, key, _, row = self.next
+        self.waiting[run].append((key, row))
+        self.held += 1
+        self.most_held = max(self.most_held, self.held)
+        self.next = next(self.stream, None)
+
+    def _run(self, rows: deque) -> Iterator[tuple]:
+        last = None
+        while True:
+            while not rows and self.next is not None and self.next[2] <= last:
+                self._take()
+            if not rows:
+                return
+            last, _ = found = rows.popleft()
+            self.held -= 1
+            yield found
+
+
+def histories(captures: DataFrame, run_rows: int = 20_000, block_rows: int = 256) -> DataFrame:
     """The captures in global order of (urlkey, timestamp, page_id), nulls first, with their place in their partition.
 
-    Each task sorts what it reads in runs of ``run_rows``. Runs are dealt by key ranges; the full key sets the
-    ranges, so a URL with very many captures is spread as well. Repeated rows stay.
+    Each task sorts what it reads in runs of ``run_rows``, cut in blocks of ``block_rows``. Runs are dealt by ranges of
+    the key and, within equal keys, of the run, so neither a URL with very many captures nor rows that are all alike meet
+    in one task. A range's rows come ordered by when the merge needs their block (Spark sorts and spills); the loser
+    tree holds about a block a run and hands its rows out in batches. Repeated rows stay, in the order of their runs.
     """
     columns = captures.columns
+    own = {c: f"_{c}_before" for c in _KEY}
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number, task = [], 0, TaskContext.get().partitionId()
 
         def cut(table: pa.Table):
             nonlocal number
-            rows = sorted(table.to_pylist(), key=lambda r: _order(r["urlkey"], r["timestamp"], r["page_id"]))
+            keys = [_order(*k) for k in zip(*(table.column(c).to_pylist() for c in _KEY))]
+            table = table.take(pa.array(sorted(range(len(keys)), key=keys.__getitem__), pa.int64())).combine_chunks()
             number += 1
-            for i, r in enumerate(rows):
-                r.update(run=(task << 32) + number, place=i)
-            return pa.RecordBatch.from_pylist(rows, pa.schema([*table.schema, ("run", pa.int64()), ("place", pa.int64())]))
+            place = np.arange(len(keys))
+            before = pa.array(place // block_rows * block_rows - 1, mask=place < block_rows)
+            more = {"_run": pa.array(np.full(len(keys), (task << 32) + number)), "_at": pa.array(place), "_first": pa.array(place < block_rows),
+                    **{own[c]: table.column(c).take(before) for c in _KEY}}
+            for name, values in more.items():
+                table = table.append_column(name, values)
+            return table.to_batches()
 
         for batch in batches:
             held.append(batch)
             table = pa.Table.from_batches(held)
             while len(table) >= run_rows:
-                yield cut(table.slice(0, run_rows))
+                yield from cut(table.slice(0, run_rows))
                 table = table.slice(run_rows)
             held = table.to_batches()
         if held and sum(map(len, held)):
-            yield cut(pa.Table.from_batches(held))
+            yield from cut(pa.Table.from_batches(held))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in captures.schema.fields)
-    dealt = (captures.mapInArrow(runs, f"{kinds}, run long, place long").repartitionByRange("urlkey", "timestamp", "page_id")
-             .sortWithinPartitions("run", "place"))
+    kind = {f.name: f.dataType.simpleString() for f in captures.schema.fields}
+    dealt = (captures.mapInArrow(runs, f"{kinds}, _run long, _at long, _first boolean, " + ", ".join(f"{own[c]} {kind[c]}" for c in _KEY))
+             .repartitionByRange(*_KEY, "_run", "_at")
+             .sortWithinPartitions(F.col("_first").desc(), *own.values(), "_run", "_at"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[int, list] = {}
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            for r in batch.to_pylist():
-                segments.setdefault(r["run"], []).append(r)
-        rows = list(loser_tree(list(segments.values()), lambda r: _order(r["urlkey"], r["timestamp"], r["page_id"])))
-        for i, r in enumerate(rows):
-            r["place"] = i
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema).select([*columns, "place"])
+        batches = iter(batches)
+        head = next(batches, None)
+        if head is None:
+            return
+        schema = head.schema
+
+        def rows() -> Iterator[tuple]:
+            for batch in chain([head], batches):
+                values = [batch.column(i).to_pylist() for i in range(len(columns))]
+                keys = zip(*(values[columns.index(c)] for c in _KEY))
+                needs = zip(*(batch.column(schema.get_field_index(own[c])).to_pylist() for c in _KEY))
+                run, at = (batch.column(schema.get_field_index(c)).to_pylist() for c in ("_run", "_at"))
+                for r, a, key, need, row in zip(run, at, keys, needs, zip(*values)):
+                    start = a // block_rows * block_rows
+                    yield r, (*_order(*key), r, a), (*_order(*need), r, start - 1) if start else None, row
+
+        out = pa.schema([*(schema.field(c) for c in columns), ("place", pa.int64())])
+        found = loser_tree(_Feed(rows()).runs, itemgetter(0))
+        place = 0
+        while some := list(islice(found, 2_000)):
+            arrays = [pa.array(c, f.type) for c, f in zip(zip(*(row for _, row in some)), out)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(range(place, place + len(some)), pa.int64())], schema=out)
+            place += len(some)
 
     return dealt.mapInArrow(merged, f"{kinds}, place long")

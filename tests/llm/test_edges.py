@@ -3,6 +3,8 @@
 import base64
 import random
 import re
+import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -107,14 +109,33 @@ def test_secrets_need_their_complement(spark):
     assert got[1]["spans"] == "weak:13:26" and got[6]["spans"] == "assign:0:25,hex:8:25"
 
 
+def test_secrets_of_long_texts_and_repeated_rows(spark):
+    text = "\n\n".join(f"user: alice{i} pwd: hunter{i}x token=0123456789abcdef{i:04d} pass: {'z' * (i % 9)}" for i in range(20_000))
+    base = secret_scan.base_spans(text)
+    started = time.perf_counter()
+    found = secret_scan.parts(text, base)
+    assert time.perf_counter() - started < 5  # was quadratic: minutes
+    few = text[:text.index("user: alice300 ")]
+    base = secret_scan.base_spans(few)
+    breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", few)]
+    for role, scope, a, b in secret_scan.parts(few, base):
+        assert scope == sum(at < a for at in breaks)
+        assert role != "weak" or not any(a < e and s < b for k, s, e in base if k == "assign")
+    assert found[:200] == [p for p in found[:200] if p[0] == "weak"] and len({p[1] for p in found}) == 20_000
+    rows = [(1, "user: alice1 pwd: hunter2x")] * 3 + [(None, "user: alice1 pwd: hunter2x"), (None, "pwd: hunter2x"), (1, "pwd: hunter2x")]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_weak"], r["spans"]) for r in got) == [
+        (0, 0, ""), (0, 1, "weak:13:26"), (1, 0, ""), *[(1, 1, "weak:13:26")] * 3]
+
+
 def test_token_blocks_and_selection():
     rng = np.random.default_rng(0)
-    for values in ([0], [0, 0, 5], np.sort(rng.integers(0, 10 ** 6, 1000)), np.arange(300) * 3, [7] * 100):
+    for values in ([], [0], [0, 0, 5], np.sort(rng.integers(0, 10 ** 6, 1000)), np.arange(300) * 3, [7] * 100, [0] * 64 + [2 ** 40], [9] * 128):
         ef, _ = token_files.EliasFano.load(memoryview(token_files.EliasFano.of(np.array(values)).dump()), 0)
-        assert ef.values().tolist() == [ef.select(i) for i in range(len(values))] == list(values)
+        assert list(ef) == [ef.select(i) for i in range(len(values))] == list(values)
     blob = token_files.pack_block([None, -5, 3], [b"\x01\x00", b"", b"\x02\x00\x03\x00"], np.dtype("<u2"))
     ids, bounds, words = token_files.unpack_block(blob)
-    assert (ids, bounds.values().tolist(), words.tolist()) == ([None, -5, 3], [0, 1, 1, 3], [1, 2, 3])
+    assert (list(ids), list(bounds), words.tolist()) == ([None, -5, 3], [0, 1, 1, 3], [1, 2, 3])
 
 
 @pytest.mark.parametrize("name, byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -307,6 +328,44 @@ def test_archives_of_every_kind(spark, tmp_path):
         assert list(warc.loser_tree(runs, lambda v: v)) == sorted(v for run in runs for v in run)
 
 
+def feed(runs, block, start=0, stop=None):
+    """The rows of sorted runs between two places of their common order, by need."""
+    rows = [(r, (v, r, a), (run[a // block * block - 1], r, a // block * block - 1) if a >= block else None, v)
+            for r, run in enumerate(runs) for a, v in enumerate(run)]
+    chosen = {row[1] for row in sorted(rows, key=lambda row: row[1])[start:stop]}
+    return iter(sorted((row for row in rows if row[1] in chosen), key=lambda row: (row[2] is not None, row[2] or (), row[1][1:])))
+
+
+def test_merge_holds_a_block_a_run():
+    draw = random.Random(3)
+    for top, n in ((10 ** 9, 5_000), (3, 5_000), (0, 5_000), (40, 300)):
+        runs = [sorted(draw.randint(0, top) for _ in range(draw.choice((n, n // 2, 1)))) for _ in range(9)]
+        every = sorted((v, r, a) for r, run in enumerate(runs) for a, v in enumerate(run))
+        for start, stop in ((0, None), (len(every) // 3, 2 * len(every) // 3), (7, 8), (5, 5)):
+            source = warc._Feed(feed(runs, 16, start, stop))
+            got = [key for key, _ in warc.loser_tree(source.runs, lambda item: item[0])]
+            assert got == every[start:stop] and source.held == 0 and source.next is None
+            assert source.most_held <= 2 * 16 * len(runs)
+
+
+def test_histories_of_hot_urls_keep_every_row_in_order(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice((None, draw.randint(0, 50))), "u", draw.choice(("com,a)/", "com,a)/", "com,b)/é", None)), draw.choice(("2024", "2023", None)))
+            for _ in range(3_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, urlkey string, timestamp string").repartition(5)
+    by_key = lambda r: (r[2] is not None, (r[2] or "").encode(), r[3] is not None, r[3] or "", r[0] is not None, r[0] or 0)
+    merging, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(merging, "false")  # few rows are one range otherwise
+    try:
+        got = warc.histories(df, run_rows=300, block_rows=7).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(merging, before)
+    assert [tuple(r)[:4] for r in got] == sorted(rows, key=by_key)
+    sizes = Counter(r["part"] for r in got)
+    assert len(sizes) > 1 and max(sizes.values()) < 1_500
+    assert [r["place"] for r in got] == [i for part in sorted(sizes) for i in range(sizes[part])]
+
+
 def test_benchmark_in_blocks_finds_the_same(spark, data):
     docs, bench = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     one = decontamination.report(decontamination.search(docs, bench)).orderBy("doc_id").collect()
