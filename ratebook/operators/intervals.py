@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ratebook.config import Z_VALUES
 from ratebook.functions.columns import clip, col
-from ratebook.operators.quantiles import kept, median, order_statistics, quantiles
+from ratebook.operators.quantiles import interpolated, kept, median, order_statistics, planned_order_statistics, quantile_ranks
 from ratebook.operators.transforms import TargetTransform
 
 
@@ -51,23 +51,33 @@ class ConformalBins:
 
     @classmethod
     def _fit(cls, df, prediction, residual, alpha, bins, rows_per_bin, winsor) -> "ConformalBins | None":
-        size = F.abs(col(residual))
-        overall = order_statistics(df, size, lambda n: [conformal_rank(n, alpha)])
-        if () not in overall or overall[()][0] < 50:
+        size = F.abs(col(residual)).cast("double")
+        side = F.when(col(residual) > 0, "up").when(col(residual) < 0, "down")
+        parts = {"all": (F.lit("all"), size), "side": (side, size), "prediction": (F.lit("prediction"), col(prediction).cast("double"))}
+        melted = df.select(F.inline(F.array(*(F.struct(k.alias("part"), v.alias("value")) for k, v in parts.values()))))
+        cut_at = []
+
+        def plan(sizes):
+            n = sizes.get(("all",), 0)
+            if n < 50:
+                return {}
+            count = max(1, min(bins, n // rows_per_bin))
+            cut_at.extend(i / count for i in range(1, count + 1))
+            return {("all",): [conformal_rank(n, alpha), *quantile_ranks(n, [winsor])],
+                    ("prediction",): quantile_ranks(sizes.get(("prediction",), 0), cut_at),
+                    **{(s,): [conformal_rank(sizes[s,], alpha, n)] for s in ("up", "down") if (s,) in sizes}}
+
+        ranked = planned_order_statistics(melted, "value", plan, by=["part"])
+        n, values = ranked.get(("all",), (0, {}))
+        if not cut_at or ("prediction",) not in ranked:
             return None
-        n, values = overall[()]
-        width = float(values[conformal_rank(n, alpha)])
-        cap = quantiles(df, size, [winsor])[0]
-        sides = order_statistics(
-            df.withColumn("side", F.when(col(residual) > 0, "up").when(col(residual) < 0, "down")), size,
-            lambda k: [conformal_rank(k, alpha, n)], by=["side"])
+        width, cap = float(values[conformal_rank(n, alpha)]), interpolated(n, values, winsor)
 
         def ratio(side):
-            k, found = sides.get((side,), (0, {}))
-            return float(found[conformal_rank(k, alpha, n)]) / width if k >= 10 and width > 0 else 1.0
+            k, values = ranked.get((side,), (0, {}))
+            return float(values[conformal_rank(k, alpha, n)]) / width if k >= 10 and width > 0 else 1.0
 
-        count = max(1, min(bins, n // rows_per_bin))
-        cuts = sorted(set(quantiles(df, prediction, [i / count for i in range(1, count + 1)])))
+        cuts = sorted({interpolated(*ranked["prediction",], p) for p in cut_at})
         index = cls._index(prediction, cuts)
         local = order_statistics(df.withColumn("bin", index), size, lambda k: [conformal_rank(k, alpha)], by=["bin"])
         widths = []

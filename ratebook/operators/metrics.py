@@ -20,7 +20,7 @@ from ratebook.functions import moments as m
 from ratebook.functions.columns import band, col, flag, hash_key, lookup
 from ratebook.functions.economics import MEASURES, business_score, policy_economics
 from ratebook.functions.pricing import blend
-from ratebook.operators.quantiles import exact_quantiles, melt, quantiles
+from ratebook.operators.quantiles import exact_quantiles, kept, melt, quantiles
 
 LOW_VALUE = 4500.0
 
@@ -240,7 +240,14 @@ RESIDUAL_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75":
 
 
 def residual_diagnostics(df: DataFrame, y="y_true", p="price") -> DataFrame:
-    e = col(y) - col(p)
+    """One row. The source is computed once: its residuals are kept until the last of the passes over them."""
+    with kept(df.select((col(y) - col(p)).alias("e"))) as residuals:
+        found = _residual_diagnostics(residuals)
+        return df.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def _residual_diagnostics(df: DataFrame) -> DataFrame:
+    e = F.col("e")
     cuts = dict(zip(RESIDUAL_QUANTILES, quantiles(df, e, list(RESIDUAL_QUANTILES.values()))))
     centre = df.agg(F.avg(e).alias("mean"), F.stddev_pop(e).alias("std")).first()
     far = F.abs(e - F.lit(centre["mean"]))

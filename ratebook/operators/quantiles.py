@@ -58,8 +58,22 @@ def _matched(rows: DataFrame, by: Sequence[str], table: list[tuple], fields: Seq
 
 
 def _bracketed(rows: DataFrame, by: Sequence[str], brackets: Sequence[Bracket]) -> DataFrame:
-    """Rows inside a bracket, with its number, ends and scale. The brackets of a group are disjoint."""
+    """Rows inside a bracket, with its number, ends and scale. The brackets of a group are disjoint.
+
+    A few brackets are tested in the scan's own stage; many are joined by group.
+    """
     kind = rows.schema["v"].dataType
+    if len(brackets) <= LITERAL_RANKS:
+        found = F
+        for i, b in enumerate(brackets):
+            lo, hi = F.lit(b.lo).cast(kind), F.lit(b.hi).cast(kind)
+            test = F.col("v").between(lo, hi)
+            for name, value in zip(by, b.group):
+                test = test & F.col(name).eqNullSafe(F.lit(value))
+            scale = F.lit(1.0 if math.isfinite(float(b.hi) - float(b.lo)) else 0.5)
+            own = F.struct(F.lit(i).alias("bracket"), lo.alias("lo"), hi.alias("hi"), scale.alias("scale"))
+            found = found.when(test, own)
+        return rows.withColumn("_in", found).where("_in IS NOT NULL").select(*rows.columns, "_in.*")
     fields = [T.StructField("bracket", T.IntegerType()), T.StructField("lo", kind), T.StructField("hi", kind),
               T.StructField("scale", T.DoubleType())]
     table = [(*b.group, i, b.lo, b.hi, 1.0 if math.isfinite(float(b.hi) - float(b.lo)) else 0.5)
@@ -108,14 +122,25 @@ def order_statistics(
 
     Nulls are left out. The number of groups must be small (tiers, bins, features).
     """
+    return planned_order_statistics(df, value, lambda sizes: {g: ranks_for(n) for g, n in sizes.items()}, by)
+
+
+def planned_order_statistics(
+    df: DataFrame,
+    value,
+    plan: Callable[[dict[tuple, int]], dict[tuple, Iterable[int]]],
+    by: Sequence[str] = (),
+) -> dict[tuple, tuple[int, dict[int, object]]]:
+    """As above where a group's ranks hang on the sizes of others: ``plan`` gets all sizes and names the ranks, none
+    for a group it leaves out. Statistics of several columns take one search that way, melted into groups by name."""
     # Only the value and its group are kept between the passes: the source is computed
     # once, and a lost block is recomputed from it.
     with kept(df.select(*by, col(value).alias("v"))) as narrow:
         known = F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))
-        return _order_statistics(narrow.where(known), ranks_for, list(by))
+        return _order_statistics(narrow.where(known), plan, list(by))
 
 
-def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple, tuple[int, dict[int, object]]]:
+def _order_statistics(rows: DataFrame, plan, by: list[str]) -> dict[tuple, tuple[int, dict[int, object]]]:
     stats = (
         rows.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -123,12 +148,13 @@ def _order_statistics(rows: DataFrame, ranks_for, by: list[str]) -> dict[tuple,
     )
     out: dict[tuple, tuple[int, dict[int, object]]] = {}
     open_: list[Bracket] = []
+    wanted = plan({tuple(r[b] for b in by): r["n"] for r in stats if r["n"]})
     for r in stats:
         n = r["n"]
         if n == 0:
             continue
         group = tuple(r[b] for b in by)
-        ranks = sorted({min(max(int(k), 1), n) for k in ranks_for(n)})
+        ranks = sorted({min(max(int(k), 1), n) for k in wanted.get(group, ())})
         out[group] = (n, {})
         if ranks:
             open_.append(Bracket(group, ranks, 0, n, r["lo"], r["hi"]))
@@ -199,27 +225,26 @@ def _ranked(rows: DataFrame, by: list[str], asked: list[tuple], some: bool = Fal
     return out
 
 
+def quantile_ranks(n: int, probs: Sequence[float]) -> list[int]:
+    """The ranks between which the quantiles of n values lie."""
+    below = [math.floor(p * (n - 1)) + 1 for p in probs]
+    return [*below, *(min(k + 1, n) for k in below)]
+
+
+def interpolated(n: int, values: dict[int, object], p: float) -> float:
+    """The quantile at p from the order statistics at its ``quantile_ranks``."""
+    position = p * (n - 1)
+    k = math.floor(position) + 1
+    low, high = float(values[k]), float(values[min(k + 1, n)])
+    return low + (high - low) * (position - (k - 1))
+
+
 def grouped_quantiles(
     df: DataFrame, value, probs: Sequence[float], by: Sequence[str] = ()
 ) -> dict[tuple, tuple[int, list[float]]]:
     """``{group: (n, quantiles)}``: linearly interpolated, exact for any number of rows."""
-
-    def ranks(n: int):
-        for p in probs:
-            k = math.floor(p * (n - 1)) + 1
-            yield k
-            yield min(k + 1, n)
-
-    out = {}
-    for group, (n, values) in order_statistics(df, value, ranks, by).items():
-        row = []
-        for p in probs:
-            position = p * (n - 1)
-            k = math.floor(position) + 1
-            low, high = float(values[k]), float(values[min(k + 1, n)])
-            row.append(low + (high - low) * (position - (k - 1)))
-        out[group] = (n, row)
-    return out
+    found = order_statistics(df, value, lambda n: quantile_ranks(n, probs), by)
+    return {group: (n, [interpolated(n, values, p) for p in probs]) for group, (n, values) in found.items()}
 
 
 def exact_quantiles(df: DataFrame, value, probs: Sequence[float], by: Sequence[str] = ()) -> dict[tuple, list[float]]:

@@ -29,6 +29,27 @@ def test_exact_whatever_the_bracket_limit(skewed, monkeypatch, limit):
         assert np.allclose(got[(k,)], np.quantile(part.v, PROBS), rtol=1e-13, atol=0)
 
 
+@pytest.mark.parametrize("literal", [0, 32])
+def test_brackets_as_literals_or_joined(skewed, monkeypatch, literal):
+    monkeypatch.setattr(q, "SMALL_BRACKET", 50)
+    monkeypatch.setattr(q, "LITERAL_RANKS", literal)
+    pdf, df = skewed
+    got = q.exact_quantiles(df, "v", PROBS, ["g"])
+    for k in ("g0", "g1", None):
+        part = pdf[pdf.g.isna() if k is None else pdf.g == k]
+        assert np.allclose(got[(k,)], np.quantile(part.v, PROBS), rtol=1e-13, atol=0)
+
+
+def test_ranks_planned_over_all_groups(skewed):
+    """The rank in one group hangs on the size of another, and a group may be left out."""
+    pdf, df = skewed
+    sizes = pdf.groupby("g", dropna=False).size()
+    found = q.planned_order_statistics(df, "v", lambda n: {("g0",): [n["g1",]], ("g1",): []}, ["g"])
+    values = np.sort(pdf.v[pdf.g == "g0"])
+    assert found["g0",] == (sizes["g0"], {int(sizes["g1"]): values[sizes["g1"] - 1]})
+    assert found["g1",][1] == {} and found[None,][1] == {}
+
+
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([], "v double")
     assert q.quantiles(empty, "v", [0.5]) == [None]
