@@ -415,25 +415,26 @@ class TargetTransform:
         return clip(y, self.safe_min, self.safe_max) if safe else y
 
 
+def log_likelihoods(df: DataFrame, y, method: str, points: Sequence[float]) -> list[float]:
+    """The log-likelihood of each shape parameter, all from one aggregate pass; minus infinity without variation."""
+    y = col(y)
+    logs = F.signum(y) * F.log1p(F.abs(y)) if method == "yeo-johnson" else F.ln(y)
+    row = df.agg(
+        F.count(y).alias("n"), F.sum(logs).alias("logs"),
+        *[F.var_pop(targets.forward(y, method, float(p))).alias(f"v{i}") for i, p in enumerate(points)]).first()
+    return [-row["n"] / 2.0 * math.log(row[f"v{i}"]) + (p - 1.0) * row["logs"] if row[f"v{i}"] else -math.inf
+            for i, p in enumerate(points)]
+
+
 def best_lambda(df: DataFrame, y, method: str, low: float = -2.0, high: float = 3.0, grid: int = 21, rounds: int = 4) -> float:
     """Maximum-likelihood shape parameter.
 
     A round evaluates a whole grid in one aggregate pass, then narrows to the cells
     around the best one; a parabola through the last three points gives the optimum.
     """
-    y = col(y)
-    if method == "yeo-johnson":
-        logs = F.signum(y) * F.log1p(F.abs(y))
-    else:
-        logs = F.ln(y)
     for _ in range(rounds):
         points = np.linspace(low, high, grid)
-        row = df.agg(
-            F.count(y).alias("n"), F.sum(logs).alias("logs"),
-            *[F.var_pop(targets.forward(y, method, float(p))).alias(f"v{i}") for i, p in enumerate(points)]).first()
-        like = np.array([
-            -row["n"] / 2.0 * math.log(row[f"v{i}"]) + (p - 1.0) * row["logs"] if row[f"v{i}"] else -np.inf
-            for i, p in enumerate(points)])
+        like = np.array(log_likelihoods(df, y, method, points.tolist()))
         best = int(np.argmax(like))
         low, high = float(points[max(best - 1, 0)]), float(points[min(best + 1, grid - 1)])
         if 0 < best < grid - 1 and np.isfinite(like[best - 1:best + 2]).all():

@@ -161,6 +161,25 @@ def fit_power(spark, d):
         rows, "method string, lam double, safe_min double, safe_max double, z_mean double, z_std double"), 4)
 
 
+_POWERS = """, g AS (SELECT unnest([-0.5,0.0,0.25,0.5,1.0]) AS lam),
+v AS (SELECT lam, CASE WHEN lam=0 THEN ln(charges+1) ELSE (pow(charges+1.0,lam)-1.0)/lam END AS yj, CASE WHEN lam=0 THEN ln(charges) ELSE (pow(charges,lam)-1.0)/lam END AS bc, charges FROM policies, g),
+k AS (SELECT 'yeo-johnson' AS method, lam, -count(*)/2.0*ln(var_pop(yj))+(lam-1.0)*sum(ln(1+charges)) AS l FROM v GROUP BY lam
+ UNION ALL SELECT 'boxcox', lam, -count(*)/2.0*ln(var_pop(bc))+(lam-1.0)*sum(ln(charges)) FROM v GROUP BY lam)"""
+
+
+@query("d12_likelihood_grid", with_ctes(f"""{_POWERS}
+SELECT method, CAST(lam AS DOUBLE) AS lam, round(l,3) AS log_likelihood, l=max(l) OVER (PARTITION BY method) AS best FROM k"""))
+def likelihood_grid(spark, d):
+    """What the shape parameter is chosen by, on a fixed grid that holds both logarithms."""
+    df, points = portfolio.policies(spark, d), [-0.5, 0.0, 0.25, 0.5, 1.0]
+    rows = []
+    with q.kept(df.select("charges")) as narrow:
+        for method in ("yeo-johnson", "boxcox"):
+            found = t.log_likelihoods(narrow, "charges", method, points)
+            rows += [(method, p, value, value == max(found)) for p, value in zip(points, found)]
+    return rounded(spark.createDataFrame(rows, "method string, lam double, log_likelihood double, best boolean"), {"log_likelihood": 3})
+
+
 _YJ = "CASE WHEN x>=0 THEN (pow(x+1.0,0.3)-1.0)/0.3 ELSE -(pow(1.0-x,1.7)-1.0)/1.7 END"
 
 
