@@ -5,10 +5,10 @@ holds its Hamming distances to a fixed set of pivots. By the triangle inequality
 distances to any pivot differ by more than ``most`` can't be linked, so the largest coordinate difference
 discards a pair without looking at the fingerprints; what survives is verified bit by bit.
 
-Which pairs meet at all is a matter of keys. For few differing bits the pigeonhole leaves none out: of
-``most + 2`` bands of the bits, two linked fingerprints agree on two at least, so each pair of bands is a key.
-For a similarity (fingerprints of 256 bits) 32 samples of 14 bits are keys; a pair with a Jaccard similarity of
-0.8 shares one in about 96 of 100 cases, closer ones nearly always.
+Which pairs meet at all leaves none out. For few differing bits it is a matter of keys: of ``most + 2`` bands of the
+bits, two linked fingerprints agree on two at least, so each pair of bands is a key. For a similarity (48 of 256
+bits) such bands have five bits and tell nothing apart; there every pair of blocks of fingerprints meets, and a
+product of their first bits, which is a bound, discards all but about three pairs in a thousand before all bits decide.
 """
 
 from __future__ import annotations
@@ -28,6 +28,13 @@ PIVOTS = 16
 #: Fingerprints of a key that are compared in one task; larger keys are split into pairs of chunks.
 CHUNK = 4096
 _STEP = 1 << 15
+#: Bands of fewer bits are no keys: all pairs meet, in blocks.
+_BAND = 8
+#: Fingerprints of a block at most; smaller tables get up to ``_BLOCKS`` of at least ``_LEAST``, for the sake of more tasks.
+BLOCK = 1 << 17
+_BLOCKS, _LEAST = 8, 1 << 12
+#: Rows of a tile, words of a fingerprint in its product, candidates that are verified at once.
+_TILE, _FIRST, _HELD = 1 << 11, 2, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -35,26 +42,24 @@ class Scheme:
     shingle: int = 4
     words: int = 1
     most: int = 4
-    samples: int = 0  # keys of sampled bits; 0: pairs of most + 2 bands
-    sample_bits: int = 14
+
+    @property
+    def keyed(self) -> bool:
+        return 64 * self.words >= _BAND * (self.most + 2)
 
     def keys(self, prints: np.ndarray) -> np.ndarray:
-        """Keys (n x number of keys) of fingerprints (n x words)."""
+        """Keys (n x number of keys) of fingerprints (n x words): the pairs of most + 2 bands."""
         bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
         total = bits.shape[1]
-        if self.samples:
-            draw = np.random.default_rng(7)
-            bands = [draw.permutation(total)[:self.sample_bits] for _ in range(self.samples)]
-        else:
-            edges = [round(total * i / (self.most + 2)) for i in range(self.most + 3)]
-            bands = [(*range(edges[i], edges[i + 1]), *range(edges[j], edges[j + 1])) for i, j in combinations(range(self.most + 2), 2)]
+        edges = [round(total * i / (self.most + 2)) for i in range(self.most + 3)]
+        bands = [(*range(edges[i], edges[i + 1]), *range(edges[j], edges[j + 1])) for i, j in combinations(range(self.most + 2), 2)]
         return np.column_stack([bits[:, list(b)].astype(np.int64) @ (1 << np.arange(len(b), dtype=np.int64)) for b in bands])
 
 
 #: The contract's fingerprints, and those for a similarity of 0.8 on shingles of five words: their share of
 #: differing bits is arccos(2s / (1 + s)) / pi = 0.151; 48 of 256 leaves room for the spread of the estimate.
 EXACT = Scheme()
-SIMILAR = Scheme(shingle=5, words=4, most=48, samples=32)
+SIMILAR = Scheme(shingle=5, words=4, most=48)
 
 
 def pivots(words: int = 1, n: int = PIVOTS) -> np.ndarray:
@@ -230,6 +235,80 @@ def near_links(distinct: DataFrame, scheme: Scheme, chunk: int = CHUNK) -> DataF
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(links, "u long, v long")
 
 
+def _signs(prints: np.ndarray) -> np.ndarray:
+    """The first words of fingerprints, a bit as +1 or -1: a product is the number of equal bits less that of differing ones."""
+    return np.unpackbits(np.ascontiguousarray(prints[:, :_FIRST]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
+def linked_blocks(a: np.ndarray, b: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between the fingerprints a and b (b None: among a), as indices into a, then b.
+
+    Tiles of products name the pairs whose first bits differ in ``most`` at most, then all bits decide. What is
+    found is contracted as it comes, so memory does not follow the number of links.
+    """
+    other, shift = (a, 0) if b is None else (b, len(a))
+    us, vs, held = [], [], 0
+    for i in range(0, len(a), _TILE):
+        left = _signs(a[i:i + _TILE])
+        for j in range(i if b is None else 0, len(other), _TILE):
+            near = left @ _signs(other[j:j + _TILE]).T >= left.shape[1] - 2 * most
+            close = np.flatnonzero(np.triu(near, 1) if b is None and i == j else near)
+            for at in range(0, len(close), _HELD):
+                u, v = np.divmod(close[at:at + _HELD], near.shape[1])
+                right = distances(a[i + u], other[j + v]) <= most
+                of, low = roots(i + u[right], shift + j + v[right])
+                us.append(low[of != low])
+                vs.append(of[of != low])
+                held += len(us[-1])
+            if held > 4 * (shift + len(other)) + _HELD:
+                of, low = roots(np.concatenate(us), np.concatenate(vs))
+                us, vs = [low[of != low]], [of[of != low]]
+                held = len(us[0])
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
+
+
+def block_links(distinct: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
+    """As ``near_links`` without keys: every pair of distinct fingerprints meets in a cell of a grid of blocks.
+
+    A hash deals a fingerprint to its block, and the block goes to one cell with every block. A task holds two blocks
+    and a tile of products however large the table is; the pairs compared grow with its square.
+    """
+    n = distinct.count()
+    blocks = max(1, -(-n // block), min(_BLOCKS, n // _LEAST))
+    mine = F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    dealt = (distinct.select("fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+             .select((high * (high + 1) / 2 + low).cast("int").alias("cell"), (F.col("mine") > F.col("other")).alias("upper"), "fp"))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell; a cell may run over several batches."""
+
+        def found(parts):
+            upper, prints = (np.concatenate(x) for x in zip(*parts))
+            a, b = prints[~upper], prints[upper]
+            if len(a) and len(b):
+                u, v = linked_blocks(a, b, scheme.most)
+                prints = np.concatenate([a, b])
+            else:
+                u, v = linked_blocks(prints, None, scheme.most)
+            return pa.RecordBatch.from_arrays([pa.array(nodes(prints[u]), pa.int64()), pa.array(nodes(prints[v]), pa.int64())], ["u", "v"])
+
+        now, parts = None, []
+        for batch in batches:
+            cell, upper = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            prints = _matrix(batch.column(2))
+            for c in np.unique(cell):
+                if parts and c != now:
+                    yield found(parts)
+                    parts = []
+                now = c
+                parts.append((upper[cell == c], prints[cell == c]))
+        if parts:
+            yield found(parts)
+
+    return dealt.repartitionById(blocks * (blocks + 1) // 2, "cell").sortWithinPartitions("cell").mapInArrow(links, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable by links.
 
@@ -240,7 +319,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     prints = stored(fingerprints(docs, scheme), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     distinct = checkpointed(distinct.withColumn("node", node_column(scheme)))
-    parts = connected_components(near_links(distinct, scheme), contract=False)
+    parts = connected_components((near_links if scheme.keyed else block_links)(distinct, scheme), contract=False)
     rooted = distinct.join(parts, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
