@@ -6,6 +6,8 @@ screen and streaming quarantine cannot drift apart.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,12 +95,11 @@ COMMAND_PATTERNS = (
 def unsafe_cell(c) -> Column:
     """A text cell that a spreadsheet could run."""
     raw = col(c)
-    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    starts = text.rlike(f"^[{FORMULA_STARTS}]")
-    holds = F.lit(False)
-    for pattern in COMMAND_PATTERNS:
-        holds = holds | F.contains(F.lower(text), F.lit(pattern))
-    suspicious = (text != "") & text.try_cast("double").isNull() & (starts | holds)
+    # The marks look at the text as it is, once each; only marked cells are trimmed and tried as a number.
+    starts = raw.rlike(rf"^\s*+[{FORMULA_STARTS}]")
+    holds = F.lower(raw).rlike("|".join(re.escape(p) for p in COMMAND_PATTERNS))
+    number = F.regexp_replace(raw, r"^\s+|\s+$", "").try_cast("double")
+    suspicious = F.when(starts | holds, number.isNull())
     return F.coalesce(suspicious, F.lit(False))
 
 
