@@ -62,9 +62,11 @@ class FeaturePipeline:
             outliers: float | None = None) -> "FeaturePipeline":
         """``products`` adds products of all continuous columns, the most varying ones kept. ``outliers`` is the share of
         rows that an isolation forest on the encoded columns leaves out of the fit; replaying keeps every row."""
-        # The six inputs and the target are kept between the passes, so that their source
-        # is read once; every feature is recomputed from them inside the scan stage.
-        inputs = df.select(KEY, *POLICY_COLUMNS, target).persist(StorageLevel.MEMORY_AND_DISK)
+        # The six inputs and the target are kept between the passes, so that their source is read once, and
+        # dealt anew: a narrow source comes in few parts, and the features are far more work than its bytes.
+        inputs = df.select(KEY, *POLICY_COLUMNS, target)
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        inputs = inputs.repartition(parts, *inputs.columns).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return cls._fit(inputs, target, method, products, outliers)
         finally:
@@ -80,9 +82,8 @@ class FeaturePipeline:
         labels = t.LabelEncoder.fit(rows)
         onehot = t.OneHot.fit(rows, [c for c in ENCODED if c in rows.columns])
         rows = onehot.transform(labels.transform(rows))
-        if outliers or products:
-            # Written once: the passes below would each work out every feature again, within ever larger expressions.
-            rows = stored(rows, "encoded")
+        # Written once: the passes below would each work out every feature again, within ever larger expressions.
+        rows = stored(rows, "encoded")
         if outliers:
             columns = t.numeric_columns(rows, (KEY, target))
             odd = IsolationForest.fit(rows, columns, contamination=outliers)
