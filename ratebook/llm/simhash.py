@@ -8,7 +8,8 @@ discards a pair without looking at the fingerprints; what survives is verified b
 Which pairs meet at all leaves none out. For few differing bits it is a matter of keys: of ``most + 2`` bands of the
 bits, two linked fingerprints agree on two at least, so each pair of bands is a key. For a similarity (48 of 256
 bits) such bands have five bits and tell nothing apart; there every pair of blocks of fingerprints meets, and a
-product of their first bits, which is a bound, discards all but about three pairs in a thousand before all bits decide.
+product of their first bits, which is a bound, discards all but about three pairs in a thousand; of these the pivot
+tables discard before all bits decide.
 """
 
 from __future__ import annotations
@@ -240,13 +241,20 @@ def _signs(prints: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(prints[:, :_FIRST]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
+def _table(prints: np.ndarray) -> np.ndarray:
+    """``pivot_table`` of a block, a tile at a time."""
+    return np.concatenate([np.zeros((0, PIVOTS), np.int16), *(pivot_table(prints[i:i + _TILE]) for i in range(0, len(prints), _TILE))])
+
+
 def linked_blocks(a: np.ndarray, b: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links between the fingerprints a and b (b None: among a), as indices into a, then b.
 
-    Tiles of products name the pairs whose first bits differ in ``most`` at most, then all bits decide. What is
-    found is contracted as it comes, so memory does not follow the number of links.
+    Tiles of products name the pairs whose first bits differ in ``most`` at most, of those the pivot tables discard,
+    then all bits decide. What is found is contracted as it comes, so memory does not follow the number of links.
     """
     other, shift = (a, 0) if b is None else (b, len(a))
+    table = _table(a)
+    others = table if b is None else _table(b)
     us, vs, held = [], [], 0
     for i in range(0, len(a), _TILE):
         left = _signs(a[i:i + _TILE])
@@ -255,8 +263,11 @@ def linked_blocks(a: np.ndarray, b: np.ndarray | None, most: int) -> tuple[np.nd
             close = np.flatnonzero(np.triu(near, 1) if b is None and i == j else near)
             for at in range(0, len(close), _HELD):
                 u, v = np.divmod(close[at:at + _HELD], near.shape[1])
-                right = distances(a[i + u], other[j + v]) <= most
-                of, low = roots(i + u[right], shift + j + v[right])
+                u, v = i + u, j + v
+                kept = np.abs(table[u] - others[v]).max(axis=1, initial=0) <= most
+                u, v = u[kept], v[kept]
+                right = distances(a[u], other[v]) <= most
+                of, low = roots(u[right], shift + v[right])
                 us.append(low[of != low])
                 vs.append(of[of != low])
                 held += len(us[-1])

@@ -58,3 +58,16 @@ def test_tiles_and_contraction(monkeypatch):
     cut = len(a) // 2
     across = (i < cut) & (j >= cut)
     assert groups(*simhash.linked_blocks(a[:cut], a[cut:], 48)) == groups(i[across], j[across])
+
+
+def test_pivot_tables_discard_before_the_bits(monkeypatch):
+    """A fingerprint whose table says that it is far from all others is linked with none, whatever its bits say."""
+    a = prints(9)
+    i, j = brute(a, 48)
+    table, far = simhash.pivot_table, a[i[0]]
+    monkeypatch.setattr(simhash, "pivot_table", lambda p: table(p) + 500 * (p == far).all(axis=1)[:, None])
+    kept = (i != i[0]) & (j != i[0])
+    assert groups(*simhash.linked_blocks(a, None, 48)) == groups(i[kept], j[kept]) != groups(i, j)
+    cut = len(a) // 2
+    across = kept & (i < cut) & (j >= cut)
+    assert groups(*simhash.linked_blocks(a[:cut], a[cut:], 48)) == groups(i[across], j[across])
